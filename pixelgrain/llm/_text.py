@@ -119,7 +119,7 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
             if len(s) > 1:
                 s = s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif b > a:
-            s = mix(np.array([(h[a:b] * _LANES[: b - a]).sum(dtype=_U)], _U) + _U(b - a) * _ODD)
+            s = mix((h[a:b] * _LANES[: b - a]).sum(dtype=_U, keepdims=True) + np.array([b - a], _U) * _ODD)
         else:
             s = g[:0]
         out.append(s)

@@ -6,18 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, decontamination, exact_dedup, near_dup, quality
 from ._base import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def word_tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(read_table(spark, sf_dir, "documents"), word_tokenizer_path()))
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_minhash_near_dedup, op3_quality_classifier, op7_exact_dedup, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
