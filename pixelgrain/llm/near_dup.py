@@ -7,8 +7,10 @@ the work stops: about one step for a long text, as many as there are slots for a
 elements of a block of documents at once.
 
 Documents with the same shingle set are one class and take part once. A band's bucket is never expanded into all of
-its pairs: its members are verified against the smallest one, linked members form components, and only members outside
-the smallest one's component are then compared with members of other components.
+its pairs. Its members are verified against its smallest member, against its most central one (the one that shares the
+most buckets) and against their two neighbours in the order of the following bands, a fixed number of pairs per row
+however large the bucket is. Members of small buckets that are still in different components are then compared with
+each other. Copies of one text are linked through its hubs, copies of a copy through their neighbours.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SLOTS, BANDS, SHINGLE = 128, 32, 5
 PERCENT = 75
 #: Members verified beside one copy of a hub's text; larger hubs get more copies, on other tasks.
 HUB_ROWS = 256
-#: Cross pairs per class up to which a round compares all of them; beyond it one pivot a bucket is compared per round.
-CROSS_PER_CLASS = 24
+#: Buckets of up to so many members are compared in full where links leave them in several components.
+SMALL_BUCKET = 16
 
 _U = np.uint64
 _STEP = mix(np.arange(5001, 5001 + 256, dtype=_U))
@@ -140,8 +142,39 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, perc
     return links
 
 
-def _close_sizes(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of one bucket that follow each other, directly or with one row between, in sorted order."""
+    key, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, cls = np.concatenate((key[-2:], batch.column("key").to_numpy())), np.concatenate((cls[-2:], batch.column("_class").to_numpy()))
+        for gap in (1, 2):
+            same = key[gap:] == key[:-gap]
+            a, b = cls[gap:][same], cls[:-gap][same]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["hub", "member"])
+
+
+def candidate_pairs(buckets: DataFrame) -> DataFrame:
+    """(hub, member) pairs of buckets (key, _class, order): a fixed number per row."""
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("_class").alias("_lead")).select(F.col("key").alias("_k"), "_size", "_lead")
+    rows = materialize(buckets.join(sizes, F.col("key") == F.col("_k")).select("key", "_class", "_size", "_lead"), "sized")
+    weight = rows.groupBy("_class").agg(F.sum("_size").alias("_weight")).select(F.col("_class").alias("_c"), "_weight")
+    central = rows.join(weight, F.col("_class") == F.col("_c")).groupBy("key").agg(F.max(F.struct("_weight", (-F.col("_class")).alias("_minus"))).alias("_best")).select(F.col("key").alias("_k"), (-F.col("_best._minus")).alias("hub"))
+    stars = rows.select(F.col("_lead").alias("hub"), F.col("_class").alias("member"))
+    stars = stars.unionByName(rows.join(central, F.col("key") == F.col("_k")).select("hub", F.col("_class").alias("member")))
+    order = ["key", "order", "_class"]
+    beside = buckets.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "_class").mapInArrow(_neighbours, "hub long, member long")
+    pairs = stars.unionByName(beside).where("hub <> member")
+    return materialize(pairs.groupBy("hub", "member").agg(F.lit(1).alias("_x")).select("hub", "member"), "pairs")
+
+
+def small_bucket_pairs(buckets: DataFrame, labels: DataFrame, most: int = SMALL_BUCKET) -> DataFrame:
+    """Pairs of different components within buckets of at most so many members."""
+    named = buckets.join(labels, F.col("_class") == F.col("node"), "left").select("key", "_class", F.coalesce("component", "_class").alias("comp"))
+    open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size")).where(f"_low < _high AND _size BETWEEN 3 AND {most}").select(F.col("key").alias("_k"))
+    rows = named.join(open_, F.col("key") == F.col("_k"), "left_semi")
+    lists = rows.groupBy("key").agg(F.collect_list(F.struct("_class", "comp")).alias("_m"))
+    pair = F.expr("explode(flatten(transform(_m, a -> transform(filter(_m, b -> a._class < b._class AND a.comp <> b.comp), b -> struct(a._class AS hub, b._class AS member)))))")
+    return materialize(lists.select(pair.alias("_p")).select("_p.*").groupBy("hub", "member").agg(F.lit(1).alias("_x")).select("hub", "member"), "pairs")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
@@ -152,7 +185,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id that links reach. Null or empty texts have an empty set and stand alone. Rows with
     a null id come out with a null component and are not kept. Rows that repeat an id share its component; of a
     repeated id with different texts every text may link. Other columns of docs are not read. Shingles are 64-bit
-    hashes. A pair at exactly 75 % is missed by all 32 bands with probability 5e-6.
+    hashes. A pair at exactly 75 % is missed by all 32 bands with probability 5e-6; in a bucket of more than 16 members a
+    link counts if it goes to a hub, to a neighbour in one of the bands, or is implied by such links.
     """
     src = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"))
     sketches = materialize(src.mapInArrow(_sketches(shingle, slots, bands), "_id long, _n long, _set binary, _bands array<long>"), "sketches")
@@ -163,65 +197,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "members",
     )
     discard(sketches)
-    keys = members.where("_bands IS NOT NULL").select("_class", "_n", F.explode("_bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("_class").alias("lead"), F.max("_class").alias("last")).where("lead < last").select(F.col("key").alias("_k"), "lead")
+    wheel = F.expr(f"transform(_bands, (k, i) -> struct(k AS key, array(_bands[(i + 1) % {bands}], _bands[(i + 2) % {bands}]) AS order))")
+    keys = members.where("_bands IS NOT NULL").select("_class", F.explode(wheel).alias("_b")).select("_class", "_b.key", "_b.order")
+    shared = keys.groupBy("key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).where("_low < _high").select(F.col("key").alias("_k"))
     shared = materialize(shared, "shared")
-    rows = materialize(prefilter(keys, "key", shared, "_k", 1 << 24).join(shared, F.col("key") == F.col("_k")).select("key", "_class", "_n", "lead"), "buckets")
+    buckets = materialize(prefilter(keys, "key", shared, "_k", 1 << 24).join(shared, F.col("key") == F.col("_k"), "left_semi"), "buckets")
     discard(shared)
     bodies = src.where("_id IS NOT NULL")
-    stars = rows.where("_class <> lead").groupBy(F.col("lead").alias("hub"), F.col("_class").alias("member")).agg(F.lit(1).alias("_x")).select("hub", "member")
-    links = verify_pairs(bodies, stars, shingle, percent)
+    links = verify_pairs(bodies, candidate_pairs(buckets), shingle, percent)
     labels = materialize(connected_components(links), "labels")
-    n_classes = members.where("_bands IS NOT NULL").count()
-    done: DataFrame | None = None
-    while True:
-        pairs, last = _cross_pairs(rows, labels, done, percent, CROSS_PER_CLASS * n_classes)
-        if pairs is None:
-            break
-        found = verify_pairs(bodies, pairs.select("hub", "member").distinct(), shingle, percent)
-        links = materialize(links.unionByName(found), "links")
-        discard(labels)
+    rest = small_bucket_pairs(buckets, labels)
+    if not rest.isEmpty():
+        links = links.unionByName(verify_pairs(bodies, rest, shingle, percent))
         labels = materialize(connected_components(links), "labels")
-        if last:
-            break
-        retired = pairs.select("key", F.col("hub").alias("_class")).distinct() if "key" in pairs.columns else None
-        done = retired if done is None else materialize(done.unionByName(retired), "retired")
     out = members.join(labels, F.col("_class") == F.col("node"), "left")
     component = F.coalesce(F.col("component"), F.col("_class"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
 
 
-def _cross_pairs(rows: DataFrame, labels: DataFrame, done: DataFrame | None, percent: int, most: int) -> tuple[DataFrame | None, bool]:
-    """Pairs of a bucket that no comparison has covered: (pairs or None, whether they are all that is left).
-
-    A bucket still counts while members that were not pivots belong to different components. All members outside the
-    component of the first one are compared with the other components at once where that is a linear amount of work;
-    else one such member per bucket is the next pivot.
-    """
-    if done is not None:
-        rows = rows.join(done, ["key", "_class"], "left_anti")
-    named = rows.join(labels, F.col("_class") == F.col("node"), "left").select("key", "_class", "_n", F.coalesce("component", "_class").alias("comp"))
-    open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min(F.struct("_class", "comp")).alias("_lead"), F.count(F.lit(1)).alias("_size")).where("_low < _high").select(F.col("key").alias("_k"), F.col("_lead._class").alias("_first"), F.col("_lead.comp").alias("_main"), "_size")
-    active = materialize(named.join(open_, F.col("key") == F.col("_k")).select("key", "_class", "_n", "comp", "_first", "_main", "_size"), "active")
-    work = active.where("comp <> _main").agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    if not work:
-        return None, True
-    outside = active.where("comp <> _main")
-    everything = work <= most
-    if not everything:
-        outside = outside.groupBy("key").agg(F.min(F.struct("_class", "_n", "comp")).alias("_p")).select("key", "_p.*", F.lit(None).cast("long").alias("_main"))
-    hubs = outside.select(F.col("key").alias("_k"), F.col("_class").alias("hub"), F.col("_n").alias("_hn"), F.col("comp").alias("_hc"))
-    pairs = hubs.join(active, F.col("_k") == F.col("key")).where("comp <> _hc").where(_close_sizes("_n", "_hn", percent))
-    if everything:
-        # the first member was compared with all others already; of two members outside, one pair is enough
-        pairs = pairs.where("_class <> _first AND (comp = _main OR hub < _class)")
-        pairs = pairs.select(F.when(F.col("comp") == F.col("_main"), F.col("hub")).otherwise(F.least("hub", "_class")).alias("hub"), F.when(F.col("comp") == F.col("_main"), F.col("_class")).otherwise(F.greatest("hub", "_class")).alias("member"))
-        pairs = pairs.groupBy("hub", "member").agg(F.lit(1).alias("_x")).select("hub", "member")
-    else:
-        pairs = pairs.select("key", "hub", F.col("_class").alias("member"))
-    return materialize(pairs, "pairs"), everything
-
-
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate group, the one with the smallest id; columns as they were."""
     dropped = near_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_dropped"))
