@@ -113,3 +113,11 @@ def line_profile(pixels: DataFrame, x0: float, y0: float, x1: float, y1: float,
     samples = spark.range(n).select(F.col("id").cast("int").alias("i"), (t * length * units_per_pixel).alias("distance"), (F.lit(float(x0)) + t * (x1 - x0) - 0.5).alias("px"), (F.lit(float(y0)) + t * (y1 - y0) - 0.5).alias("py"))
     points = g.select("image_id").distinct().crossJoin(F.broadcast(samples))
     return bilinear(g, points).select("image_id", "i", "distance", F.col("v").alias("value"))
+
+
+def region_box(points: list[tuple[float, float]], width: int, height: int) -> tuple[int, int, int, int]:
+    """Pixel rectangle (x, y, width, height) of a region, cut at the image's edges; for cropping to it."""
+    xs, ys = [p[0] for p in points], [p[1] for p in points]
+    x0, y0 = (min(max(int(v // 1), 0), n) for v, n in ((min(xs), width), (min(ys), height)))
+    x1, y1 = (min(max(-int(-v // 1), 0), n) for v, n in ((max(xs), width), (max(ys), height)))
+    return x0, y0, max(0, x1 - x0), max(0, y1 - y0)

@@ -243,3 +243,19 @@ def first_rows(found: DataFrame, n: int = 300) -> DataFrame:
 def auto_positive_threshold(found: DataFrame) -> DataFrame:
     """(threshold) of mean intensities by Otsu's method, rounded to 4 places; needs two objects."""
     return stats.otsu_values(found, "mean_intensity").select(F.bround("threshold", 4).alias("threshold"))
+
+
+def labels_at(labels: DataFrame, points: DataFrame) -> DataFrame:
+    """(image_id, px, py, label) of the objects under points (image_id, px, py); points on background or outside have none."""
+    at = points.select("image_id", "px", "py", F.floor("px").cast("int").alias("x"), F.floor("py").cast("int").alias("y"))
+    return at.join(labels.where("label > 0").select("image_id", "x", "y", "label"), ["image_id", "x", "y"]).select("image_id", "px", "py", "label")
+
+
+def toggle_exclusion(labels: DataFrame, excluded: DataFrame, click: DataFrame) -> DataFrame:
+    """Excluded points after a click: an object without points gets this one, an excluded object loses all of its points."""
+    clicked = labels_at(labels, click)
+    own = labels_at(labels, excluded)
+    hit = own.join(clicked.select("image_id", "label"), ["image_id", "label"], "left_semi")
+    kept = excluded.join(hit.select("image_id", "px", "py"), ["image_id", "px", "py"], "left_anti")
+    added = clicked.join(own.select("image_id", "label"), ["image_id", "label"], "left_anti").select("image_id", "px", "py")
+    return kept.select("image_id", "px", "py").unionByName(added)

@@ -148,3 +148,11 @@ def build_html(r: Report) -> str:
     more = f"<p>{len(r.particles) - r.max_rows} more objects are not shown.</p>" if len(r.particles) > r.max_rows else ""
     made = f"<p>{e(r.created.isoformat(timespec='minutes'))}</p>" if r.created else ""
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{e(r.title)}</title></head><body><h1>{e(r.title)}</h1>{made}<dl>{figures}</dl>{pictures}{charts}<ol>{"".join(steps)}</ol><table><tr>{head}</tr>{body}</table>{more}</body></html>'
+
+
+def write_batch(summaries: DataFrame, particles: DataFrame, recipe: Recipe, folder: str) -> None:
+    """Outputs of a batch: summaries and particles as Parquet, particles also as CSV parts, and the recipe as JSON."""
+    summaries.write.mode("overwrite").parquet(f"{folder}/summaries")
+    particles.write.mode("overwrite").parquet(f"{folder}/particles")
+    csv_lines(particles, ["image_id", *(f for _, f in PARTICLE_COLUMNS)]).write.mode("overwrite").option("lineSep", "\r\n").text(f"{folder}/particles_csv")
+    summaries.sparkSession.createDataFrame([(recipe.to_json(),)], "value string").write.mode("overwrite").text(f"{folder}/recipe")
