@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import clamp
@@ -63,12 +63,13 @@ def density(v: Column, lo: Column, hi: Column) -> Column:
     return F.when((lo == 0) & (hi == 255), eight).otherwise(-F.log10(F.greatest(v, F.lit(1.0)) / hi))
 
 
-def hsv(r: Column, g: Column, b: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:
-    """Hue in degrees, saturation and value of 0 to 1; a gray pixel has hue 0."""
-    r, g, b = (clamp((c - lo) / (hi - lo), F.lit(0.0), F.lit(1.0)) for c in (r, g, b))
-    top, bottom = F.greatest(r, g, b), F.least(r, g, b)
-    d = top - bottom
-    part = lambda a, c: F.try_divide(a - c, d)
-    raw = F.when(top == r, 60 * (part(g, b) % 6)).when(top == g, 60 * (part(b, r) + 2)).otherwise(60 * (part(r, g) + 4))
-    h = F.when(d <= 1e-9, F.lit(0.0)).otherwise(F.when(raw < 0, raw + 360).otherwise(raw))
-    return h, F.when(top > 0, F.try_divide(d, top)).otherwise(F.lit(0.0)), top
+def with_hsv(pixels: DataFrame) -> DataFrame:
+    """pixels with _h in degrees, _s and _v of 0 to 1; a gray pixel has hue 0. In stages, so that no expression repeats."""
+    unit_of = lambda c: clamp((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0), F.lit(1.0))
+    d = pixels.withColumns({f"_{c}": unit_of(c) for c in "rgb"})
+    d = d.withColumns({"_v": F.greatest("_r", "_g", "_b"), "_d": F.greatest("_r", "_g", "_b") - F.least("_r", "_g", "_b")})
+    part = lambda a, c: F.try_divide(F.col(a) - F.col(c), F.col("_d"))
+    sector = F.when(F.col("_v") == F.col("_r"), part("_g", "_b") % 6).when(F.col("_v") == F.col("_g"), part("_b", "_r") + 2).otherwise(part("_r", "_g") + 4)
+    d = d.withColumn("_h", F.when(F.col("_d") <= 1e-9, F.lit(0.0)).otherwise(60 * sector))
+    d = d.withColumns({"_h": F.when(F.col("_h") < 0, F.col("_h") + 360).otherwise(F.col("_h")), "_s": F.coalesce(F.try_divide("_d", "_v"), F.lit(0.0))})
+    return d.drop("_r", "_g", "_b", "_d")

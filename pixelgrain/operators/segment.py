@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import hsv
+from ..functions.expressions import with_hsv
 from ..model import is_color, value_columns
 from . import stats
 
@@ -32,10 +32,10 @@ def color_threshold(pixels: DataFrame, hue=(220.0, 300.0), saturation=(20.0, 100
     """Closed ranges of hue (degrees, wrapping if the first is larger), saturation and value (percent)."""
     if not is_color(pixels):
         raise ValueError("this step needs a colour image")
-    h, s, v = hsv(F.col("r"), F.col("g"), F.col("b"), F.col("lo"), F.col("hi"))
+    h, s, v = F.col("_h"), F.col("_s"), F.col("_v")
     in_hue = h.between(*hue) if hue[0] <= hue[1] else (h >= hue[0]) | (h <= hue[1])
     m = in_hue & s.between(saturation[0] / 100, saturation[1] / 100) & v.between(value[0] / 100, value[1] / 100)
-    return pixels.withColumn("m", m).select(*MASK)
+    return with_hsv(pixels).withColumn("m", m).select(*MASK)
 
 
 def inside(shape: str, points: list[tuple[float, float]]) -> Column:
