@@ -22,8 +22,12 @@ from ._text import BY_ALNUM, blocks, list_array, words
 from .quality import held_out
 
 THRESHOLD = 0.7
-EXAMPLES, TERMS, MIN_CHI2, MIN_DOCS = 12_000, 1024, 25.0, 5
+EXAMPLES, TERMS, MIN_DOCS = 12_000, 1024, 5
+#: A term needs this association with the class: chi-square by significance, and as a share of the examples.
+MIN_CHI2, MIN_PHI2 = 10.8, 0.015
 NEIGHBOURS, BLOCK_ROWS, EVIDENCE = 15, 64, 3
+#: Results of equal vectors that a task keeps.
+KNOWN = 20_000
 PRIOR_WEIGHT, NEAR = 0.5, 0.05
 
 
@@ -60,6 +64,16 @@ def _vectors(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents per chosen term in a partition: a row per term, not one per document and term."""
+    total = np.zeros(TERMS, np.int64)
+    for batch in batches:
+        column = batch.column("terms")
+        total += np.bincount(column.flatten().to_numpy(), minlength=TERMS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["t", "n"])
+
+
 def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF weights with damped counts."""
     w = (1 + np.log(counts)) * idf[terms]
@@ -161,6 +175,7 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tupl
 def _score(index: BlockMaxIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = index.score(index.base)
+        known: dict[tuple[bytes, bytes], tuple[float, list[dict]]] = {}
         kind = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
@@ -171,10 +186,16 @@ def _score(index: BlockMaxIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     scores.append(plain)
                     evidence.append([])
                     continue
-                t = flat_t[a:b]
-                rows, cosines = index.nearest(t, weigh(t, flat_c[a:b], index.idf), NEIGHBOURS)
-                scores.append(index.score(index.vote(rows, cosines)))
-                evidence.append([{"example_id": int(index.ids[r]), "cosine": float(c), "toxic": int(index.labels[r])} for r, c in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)])
+                t, c = flat_t[a:b], flat_c[a:b]
+                seen = (t.tobytes(), c.tobytes())
+                if seen not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    rows, cosines = index.nearest(t, weigh(t, c, index.idf), NEIGHBOURS)
+                    top = [{"example_id": int(index.ids[r]), "cosine": float(x), "toxic": int(index.labels[r])} for r, x in zip(rows[:EVIDENCE], cosines[:EVIDENCE], strict=True)]
+                    known[seen] = (index.score(index.vote(rows, cosines)), top)
+                scores.append(known[seen][0])
+                evidence.append(known[seen][1])
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["_id", "score", "evidence"])
 
     return run
@@ -199,12 +220,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     seen = texts.select("_label", "_body").mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     e1 = (F.col("n0") + F.col("n1")) * (n[1] / max(1, n[0] + n[1]))
     gap, spread = F.col("n1") - e1, e1 * (1 - n[1] / max(1, n[0] + n[1])) * (1 - (F.col("n0") + F.col("n1")) / (n[0] + n[1] + 1.0))
-    chosen = seen.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("chi2", gap * gap / F.greatest(spread, F.lit(1e-9))).where(F.col("chi2") >= MIN_CHI2).orderBy(F.col("chi2").desc(), "term").limit(TERMS)
+    chosen = seen.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("chi2", gap * gap / F.greatest(spread, F.lit(1e-9))).where(F.col("chi2") >= max(MIN_CHI2, MIN_PHI2 * (n[0] + n[1]))).orderBy(F.col("chi2").desc(), "term").limit(TERMS)
     terms = np.sort(np.array([r.term for r in chosen.select("term").collect()], np.int64).view(np.uint64))
     vectors = materialize(src.mapInArrow(_vectors(terms), "_id long, terms array<int>, counts array<int>"), "vectors")
     frequency = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        frequency[r.t] = r["count"]
+    for r in vectors.select("terms").mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+        frequency[r.t] = r.n
     idf = np.log((vectors.count() + 1) / (frequency + 1)) + 1
     rows = vectors.join(F.broadcast(sample), F.col("_id") == F.col("_known")).select("_id", "_label", "terms", "counts").dropDuplicates(["_id"]).collect()
     share = {y: totals.get(y, 0) / max(1, n[y]) for y in (0, 1)}
