@@ -21,7 +21,7 @@ from pixelgrain.plans.recipe import Recipe, Step
 
 QUERIES = ("flagship", "pixel_histogram_batch", "threshold_otsu_batch", "clahe", "gaussian_exact", "median_r1", "sobel", "resize_half", "label8_batch", "open", "particles_moments", "batch_summary", "describe_by_type", "value_histogram_fd")
 STEPS = ("gray", "stain", "gaussian", "background", "sobel", "clahe", "colorThreshold", "threshold")
-WIDTH, HEIGHT, BATCH = 2000, 1500, 64
+WIDTH, HEIGHT, BATCH = 2000, 1500, int(os.environ.get("BENCH_BATCH", "64"))
 
 
 def image_table(spark: SparkSession, n: int, path: str):
@@ -34,7 +34,7 @@ def image_table(spark: SparkSession, n: int, path: str):
 
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                flat = pa.array(np.clip(base + k % 7, 0, 255).ravel())
+                flat = pa.array(np.clip(np.rint(base + k % 7), 0, 255).ravel())
                 head = [pa.array([f"i{k}"]), *(pa.array([v], pa.int32()) for v in (WIDTH, HEIGHT, 3)), *(pa.array([v], pa.float32()) for v in (0.0, 255.0))]
                 yield pa.RecordBatch.from_arrays([*head, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], [c.split()[0] for c in engine.IMAGE.split(", ")])
 
@@ -51,7 +51,7 @@ def timed(run) -> float:
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "4").config("spark.sql.parquet.columnarReaderBatchSize", "4").config("spark.sql.files.maxPartitionBytes", "48m").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
