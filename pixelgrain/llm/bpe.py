@@ -9,9 +9,11 @@ library's own normaliser and splitter.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-CACHED_WORDS = 300_000
-RUN_BYTES = 1 << 20
+from ._text import list_array
+
+CACHED_WORDS = 200_000
+RUN_BYTES = 1 << 19
 
 #: Latin letters that fold one to one and that NFC leaves alone, white space and printable ASCII: the fast path's range.
 _LETTERS = "a-zß-öø-įı-ž"
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ňŊ-ž]")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+_WORD = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-9]+")
 
 
 def byte_letters() -> list[str]:
@@ -36,6 +40,37 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Index(dict):
+    """Number of each word in order of its first look-up; new words are noted for learning."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+class Store:
+    """Sequences one after the other, taken out many at once."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.ends = np.zeros(0, kind), np.zeros(1, np.int64)
+
+    def extend(self, items: list) -> None:
+        sizes = np.fromiter(map(len, items), np.int64, len(items))
+        self.data = np.concatenate((self.data, np.fromiter(chain.from_iterable(items), self.data.dtype, int(sizes.sum()))))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the sequences in order, end of each of them)."""
+        starts = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - starts
+        ends = np.cumsum(sizes)
+        return self.data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Codec:
     """Encoder and decoder for a tokenizer file of the word-end BPE kind, given as its JSON text."""
 
@@ -52,11 +87,12 @@ class Codec:
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
         self.joined = self._joined_pairs(model["vocab"])
-        self.token_of = {i: t for t, i in model["vocab"].items()}
+        self.spelling = dict(enumerate(self.letters))
+        self.letters_of = Store(np.uint8)  # spelling of each id, with the space that decoding puts behind it
+        names = {i: t for t, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in body.get("added_tokens", []))]}
+        self.letters_of.extend([f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)])
         self.special = {t["content"]: t["id"] for t in body.get("added_tokens", [])}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids: dict[str, bytes] = {}
-        self.tokens: dict[str, str] = {}
         self._forget()
 
     def _joined_pairs(self, vocab: dict[str, int]) -> np.ndarray:
@@ -67,18 +103,28 @@ class Codec:
         return joined
 
     def _forget(self) -> None:
-        self.ids = {"\0" + text: np.int32(i).tobytes() for text, i in self.special.items()}
-        self.tokens = {"\0" + text: text for text in self.special}
-
-    def fragments(self, word: str) -> list[str]:
-        """Byte-letter fragments of a word between forced cuts."""
-        raw = word.encode()
-        spelt = "".join([self.letters[b] for b in raw])
-        if len(raw) < 2:
-            return [spelt]
-        codes = np.frombuffer(raw, np.uint8)
-        cuts = (np.flatnonzero(~self.joined[codes[:-1], codes[1:]]) + 1).tolist()
-        return [spelt[a:b] for a, b in zip([0, *cuts], [*cuts, len(spelt)], strict=True)]
+        self.index, self.ids = Index(), Store(np.int32)
+        for text, i in self.special.items():
+            self.index["\0" + text] = len(self.index)
+            self.ids.extend([[i]])
+
+    def fragments(self, words: list[str]) -> tuple[list[str], dict[int, list[str]]]:
+        """(words in byte letters, fragments between forced cuts of those words that have any).
+
+        The pairs of all words are looked up at once.
+        """
+        raw = [w.encode() for w in words]
+        spelt = [w if w.isascii() and w.isprintable() and " " not in w else r.decode("latin-1").translate(self.spelling) for w, r in zip(words, raw, strict=True)]
+        codes = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(r) for r in raw])
+        apart = ~self.joined[codes[:-1], codes[1:]]
+        apart[ends[:-1] - 1] = False
+        where = np.flatnonzero(apart) + 1
+        owner = np.searchsorted(ends, where, "right")
+        cuts: dict[int, list[int]] = {}
+        for k, at in zip(owner.tolist(), (where - (ends[owner] - [len(raw[k]) for k in owner.tolist()])).tolist(), strict=True):
+            cuts.setdefault(k, []).append(at)
+        return spelt, {k: [spelt[k][a:b] for a, b in zip([0, *at], [*at, len(spelt[k])], strict=True)] for k, at in cuts.items()}
 
     def words(self, text: str) -> list[str]:
         """Normalised words in order; the keys of the cache."""
@@ -94,31 +140,39 @@ class Codec:
                 out += _WORD.findall(piece.lower())
         return out
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Encode words that the cache lacks."""
-        new = list(new)
-        cut = [self.fragments(w) for w in new]
-        results: list[dict[str, list[int]]] = []
-        for model, parts in ((self.inner, {f for c in cut for f in c[:-1]}), (self.last, {c[-1] for c in cut})):
-            order = list(parts)
-            results.append({f: e.ids for f, e in zip(order, model.encode_batch_fast(order, add_special_tokens=False), strict=True)})
-        inner, last = results
-        for word, parts in zip(new, cut, strict=True):
-            ids = [i for f in parts[:-1] for i in inner[f]] + last[parts[-1]]
-            self.ids[word] = np.array(ids, np.int32).tobytes()
-            self.tokens[word] = " ".join([self.token_of[i] for i in ids])
-
-    def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """For each text its ids as little-endian 32-bit integers, and the decoded text."""
-        split = [self.words(t) for t in texts]
-        new = set().union(*split) - self.ids.keys()
-        if len(self.ids) + len(new) > CACHED_WORDS:
+        tails, cut = self.fragments(new)
+        for k, parts in cut.items():
+            tails[k] = parts[-1]
+        heads = list({f for parts in cut.values() for f in parts[:-1]})
+        gc.disable()  # a great many small objects without cycles
+        try:
+            inner = {f: e.ids for f, e in zip(heads, self.inner.encode_batch_fast(heads, add_special_tokens=False), strict=True)} if heads else {}
+            last = [e.ids for e in self.last.encode_batch_fast(tails, add_special_tokens=False)]
+            for k, parts in cut.items():
+                last[k] = [i for f in parts[:-1] for i in inner[f]] + last[k]
+            self.ids.extend(last)
+        finally:
+            gc.enable()
+
+    def run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(ids of all texts, number of ids of each text, decoded texts)."""
+        if len(self.index) > CACHED_WORDS:
             self._forget()
-            new = set().union(*split) - self.ids.keys()
-        if new:
-            self.learn(new)
-        ids, tokens = self.ids, self.tokens
-        return [b"".join([ids[w] for w in words]) for words in split], [" ".join([tokens[w] for w in words]) for words in split]
+        look = self.index.__getitem__
+        own = [np.fromiter(map(look, words), np.int64, len(words)) for words in map(self.words, texts)]
+        if self.index.new:
+            self.learn(self.index.new)
+            self.index.new = []
+        numbers = np.concatenate(own)
+        last = np.cumsum([len(x) for x in own])
+        ids, ends = self.ids.take(numbers)
+        stop = np.concatenate(([0], ends))[last]
+        letters, ends = self.letters_of.take(ids)
+        stops = np.concatenate(([0], ends))[stop].tolist()
+        spelt = letters.tobytes()
+        return ids, np.diff(stop, prepend=0), [spelt[a : max(a, b - 1)] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
 _codecs: dict[int, Codec] = {}
@@ -136,10 +190,8 @@ def _encode(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= RUN_BYTES):
                     size += len(texts[hi])
                     hi += 1
-                ids, decoded = codec.run(texts[lo:hi])
-                counts = np.array([len(x) // 4 for x in ids])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), lists, pa.array(decoded, pa.string())], ["_id", "ids", "decoded"])
+                ids, counts, decoded = codec.run(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), list_array(ids, counts), pa.array(decoded, pa.binary()).cast(pa.string())], ["_id", "ids", "decoded"])
                 lo = hi
 
     return run
