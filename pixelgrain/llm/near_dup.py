@@ -9,8 +9,10 @@ elements of a block of documents at once.
 Documents with the same shingle set are one class and take part once. A band's bucket is never expanded into all of
 its pairs. Its members are verified against its smallest member, against its most central one (the one that shares the
 most buckets) and against their two neighbours in the order of the following bands, a fixed number of pairs per row
-however large the bucket is. Members of small buckets that are still in different components are then compared with
-each other. Copies of one text are linked through its hubs, copies of a copy through their neighbours.
+however large the bucket is. Copies of one text are linked through its hubs, copies of a copy through their neighbours.
+Members that are still in different components are then all compared with each other: in small buckets pair by pair,
+in large ones in tiles of two blocks of members, whose intersections are counted by matrix products over the shingles
+that stand in both blocks. So every pair that shares a bucket is compared or already in one component.
 """
 
 from __future__ import annotations
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 
 from ._base import discard, materialize, prefilter, text_bytes
 from ._text import BLOCK, blocks, list_array, mix, shingle_sets, words
-from .components import connected_components
+from .components import UnionFind, connected_components
 
 SLOTS, BANDS, SHINGLE = 128, 32, 5
 PERCENT = 75
 #: Members verified beside one copy of a hub's text; larger hubs get more copies, on other tasks.
 HUB_ROWS = 256
-#: Buckets of up to so many members are compared in full where links leave them in several components.
+#: Buckets of up to so many members are compared pair by pair where links leave them in several components.
 SMALL_BUCKET = 16
+#: Members and shingles of a block of a larger bucket (a longer text is more); every two blocks are compared in a task.
+TILE_ROWS, TILE_SHINGLES = 4096, 1 << 19
+#: Members of a block that are multiplied at once, shingles that are, and single matches that are counted at once.
+PART, LANES, MATCHES = 512, 4096, 1 << 22
 
 _U = np.uint64
 _STEP = mix(np.arange(5001, 5001 + 256, dtype=_U))
@@ -177,6 +183,135 @@ def small_bucket_pairs(buckets: DataFrame, labels: DataFrame, most: int = SMALL_
     return materialize(lists.select(pair.alias("_p")).select("_p.*").groupBy("hub", "member").agg(F.lit(1).alias("_x")).select("hub", "member"), "pairs")
 
 
+def _overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n_a: int, n_b: int) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, each given as (codes, rows): n_a x n_b.
+
+    Codes that many sets hold go through matrix products, the others are counted match by match.
+    """
+    out = np.zeros(n_a * n_b, np.float32)
+    (code_a, row_a), (code_b, row_b) = a, b
+    sides = []
+    both = np.intersect1d(code_a, code_b)
+    for code, row in (a, b):
+        at = np.searchsorted(both, code)
+        real = at < len(both)
+        real[real] = both[at[real]] == code[real]
+        sides.append((at[real], row[real]))
+    (at_a, row_a), (at_b, row_b) = sides
+    f_a, f_b = np.bincount(at_a, minlength=len(both)), np.bincount(at_b, minlength=len(both))
+    common = 64 * f_a * f_b >= n_a * n_b
+    place = np.where(common, np.cumsum(common) - 1, -1)
+    for lo in range(0, int(common.sum()), LANES):
+        dense = []
+        for at, row, n in ((at_a, row_a, n_a), (at_b, row_b, n_b)):
+            lane = place[at] - lo
+            own = (lane >= 0) & (lane < LANES) & common[at]
+            m = np.zeros((n, LANES if lo + LANES < common.sum() else int(common.sum()) - lo), np.float32)
+            m[row[own], lane[own]] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).ravel()
+    rare_a, rare_b = ~common[at_a], ~common[at_b]
+    at_a, row_a, at_b, row_b = at_a[rare_a], row_a[rare_a], at_b[rare_b], row_b[rare_b]
+    order = np.argsort(at_b, kind="stable")
+    at_b, row_b = at_b[order], row_b[order]
+    begin = np.searchsorted(at_b, at_a)
+    many = np.searchsorted(at_b, at_a, "right") - begin
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(at_a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + MATCHES, "right")))
+        m = many[lo:hi]
+        inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        cell = np.repeat(row_a[lo:hi], m) * n_b + row_b[np.repeat(begin[lo:hi], m) + inner]
+        out += np.bincount(cell, minlength=n_a * n_b).astype(np.float32)
+        lo = hi
+    return out.reshape(n_a, n_b)
+
+
+def _tile_links(ids: np.ndarray, comps: np.ndarray, blocks_: np.ndarray, sets: list[np.ndarray], crossed: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join what can be joined.
+
+    In a tile of two blocks only members of different blocks are compared, in a tile of one block all of them.
+    """
+    order = np.lexsort((comps, blocks_))
+    ids, comps, blocks_, sets = ids[order], comps[order], blocks_[order], [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, codes, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    rows = np.repeat(np.arange(len(sets)), sizes)
+
+    def part(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        code, row = codes[ends[lo] : ends[hi]], rows[ends[lo] : ends[hi]] - lo
+        return code[count[code] > 1], row[count[code] > 1]
+
+    split = int(np.searchsorted(blocks_, blocks_[0], "right")) if crossed else len(ids)
+    parts = [(lo, min(lo + PART, split)) for lo in range(0, split, PART)]
+    others = [(lo, min(lo + PART, len(ids))) for lo in range(split, len(ids), PART)] if crossed else parts
+    joined, links = UnionFind(), []
+    for a, b in parts:
+        for c, d in others:
+            if not crossed and c < a or comps[a:b].min() == comps[a:b].max() == comps[c:d].min() == comps[c:d].max():
+                continue
+            both = _overlaps(part(a, b), part(c, d), b - a, d - c).astype(np.int64)
+            near = (both > 0) & (100 * both >= percent * (sizes[a:b, None] + sizes[None, c:d] - both)) & (comps[a:b, None] != comps[None, c:d])
+            for i, j in np.argwhere(near).tolist():
+                x, y = int(comps[a + i]), int(comps[c + j])
+                if joined.find(x) != joined.find(y):
+                    joined.union(x, y)
+                    links.append((int(ids[a + i]), int(ids[c + j])))
+    return links
+
+
+def _tiled(shingle: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows come sorted by tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, sets = None, [], []
+
+        def finished() -> pa.RecordBatch:
+            ids, comps, own = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            links = _tile_links(ids, comps, own, sets, tile[1] != tile[2], percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            tiles = list(zip(*(batch.column(k).to_pylist() for k in ("_tile", "_i", "_j")), strict=True))
+            members = list(zip(*(batch.column(k).to_pylist() for k in ("_id", "_comp", "_block")), strict=True))
+            for lo, hi, data, offs in blocks(batch.column("_body")):
+                h, _, _, first = words(data, offs)
+                for i, s in zip(range(lo, hi), shingle_sets(h, first, shingle), strict=True):
+                    if tiles[i] != tile:
+                        if held:
+                            yield finished()
+                        tile, held, sets = tiles[i], [], []
+                    held.append(members[i])
+                    sets.append(s)
+        if held:
+            yield finished()
+
+    return run
+
+
+def large_bucket_links(docs: DataFrame, buckets: DataFrame, sizes: DataFrame, labels: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, least: int = SMALL_BUCKET + 1, rows: int = TILE_ROWS) -> DataFrame:
+    """Links (a, b) between different components within buckets of at least so many members: all pairs are compared.
+
+    docs: _id, _body; sizes: _id, _n. Members are dealt to blocks by their hashed ids and a task compares two blocks.
+    """
+    named = buckets.join(labels, F.col("_class") == F.col("node"), "left").select("key", "_class", F.coalesce("component", "_class").alias("comp"))
+    lengths = sizes.groupBy("_id").agg(F.sum("_n").alias("_n")).select(F.col("_id").alias("_own"), "_n")
+    named = materialize(named.join(lengths, F.col("_class") == F.col("_own")).select("key", "_class", "comp", "_n"), "named")
+    deal = F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("_n") / TILE_SHINGLES)).cast("int")
+    open_ = named.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_size"), deal.alias("_deal")).where(f"_low < _high AND _size >= {least}").select(F.col("key").alias("_k"), "_deal")
+    dealt = named.join(open_, F.col("key") == F.col("_k")).withColumn("_block", F.pmod(F.xxhash64("_class"), F.col("_deal")).cast("int"))
+    tiles = F.explode(F.expr("transform(sequence(0, _deal - 1), k -> struct(least(k, _block) AS i, greatest(k, _block) AS j))"))
+    wanted = materialize(dealt.select(F.col("_class").alias("_want"), F.col("key").alias("_tile"), F.col("comp").alias("_comp"), "_block", tiles.alias("_t")).select("_want", "_tile", "_comp", "_block", F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j")), "wanted")
+    discard(named)
+    texts = prefilter(docs, "_id", wanted, "_want").join(wanted, F.col("_id") == F.col("_want")).select("_tile", "_i", "_j", "_id", "_comp", "_block", "_body")
+    order = ["_tile", "_i", "_j"]
+    links = materialize(texts.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiled(shingle, percent), "a long, b long"), "links")
+    discard(wanted)
+    return links
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -185,8 +320,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id is the smallest id that links reach. Null or empty texts have an empty set and stand alone. Rows with
     a null id come out with a null component and are not kept. Rows that repeat an id share its component; of a
     repeated id with different texts every text may link. Other columns of docs are not read. Shingles are 64-bit
-    hashes. A pair at exactly 75 % is missed by all 32 bands with probability 5e-6; in a bucket of more than 16 members a
-    link counts if it goes to a hub, to a neighbour in one of the bands, or is implied by such links.
+    hashes. A pair at exactly 75 % is missed by all 32 bands with probability 5e-6; pairs that share a band are all
+    compared unless other links join them already.
     """
     src = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"))
     sketches = materialize(src.mapInArrow(_sketches(shingle, slots, bands), "_id long, _n long, _set binary, _bands array<long>"), "sketches")
@@ -210,6 +345,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not rest.isEmpty():
         links = links.unionByName(verify_pairs(bodies, rest, shingle, percent))
         labels = materialize(connected_components(links), "labels")
+    rest = large_bucket_links(bodies, buckets, members.select("_id", "_n"), labels, shingle, percent)
+    if not rest.isEmpty():
+        labels = materialize(connected_components(links.unionByName(rest)), "labels")
     out = members.join(labels, F.col("_class") == F.col("node"), "left")
     component = F.coalesce(F.col("component"), F.col("_class"))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))

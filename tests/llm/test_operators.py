@@ -123,6 +123,37 @@ def test_hub_of_many_copies_is_salted(spark):
     assert got.select("component_id").distinct().count() == 1 and got.where("kept").count() == 1
 
 
+def _template_family(pairs, alone):
+    """Texts at J = 0.735 to each other; those of a pair, far apart in order, are at 0.761."""
+    base = [f"w{k}" for k in range(104)]
+    tails = [[*(f"both{k % pairs}x{i}" for i in range(2)), *(f"own{k}x{i}" for i in range(16))] for k in range(2 * pairs)]
+    tails += [[f"own{k}x{i}" for i in range(18)] for k in range(2 * pairs, 2 * pairs + alone)]
+    return [(k, " ".join([*base, *tail])) for k, tail in enumerate(tails)]
+
+
+def test_near_pairs_in_large_buckets(spark):
+    got = rows(near_dup.near_groups(frame(spark, _template_family(100, 200))))
+    assert {k: r.component_id for k, r in got.items()} == {k: k % 100 if k < 200 else k for k in range(400)}
+
+
+def test_near_pairs_across_blocks_of_a_bucket(spark):
+    docs = [(k, t) for k, t in _template_family(30, 40)]
+    bodies = spark.createDataFrame(docs, "_id long, _body string").select("_id", F.col("_body").cast("binary").alias("_body"))
+    buckets, sizes = bodies.select(F.lit(1).cast("long").alias("key"), F.col("_id").alias("_class")), bodies.select("_id", F.lit(118).cast("long").alias("_n"))
+    labels = spark.createDataFrame([(0, 0), (30, 0)], "node long, component long")
+    for size in (7, 1000):
+        got = near_dup.large_bucket_links(bodies, buckets, sizes, labels, rows=size).collect()
+        assert {(min(r), max(r)) for r in got} == {(k, k + 30) for k in range(1, 30)}
+
+
+def test_overlaps_match_sets():
+    rng = np.random.default_rng(10)
+    a, b = ([np.unique(np.concatenate((np.arange(10), rng.integers(0, 500, 40)))) for _ in range(n)] for n in (70, 90))
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    got = near_dup._overlaps(flat(a), flat(b), 70, 90)
+    assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     links = [(k, k + 1) for k in range(300)] + [(1000, int(k)) for k in rng.integers(1001, 1400, 500)] + [(7, 7), (None, 3)]
