@@ -1,14 +1,14 @@
-"""Toxicity from nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
-A bounded sample of labelled documents (EXAMPLES rows at most, the documented bound) is the index. Terms are the words
-that tell the classes apart in it; their document frequencies come from all documents. Examples are laid out in blocks,
-each term keeps its largest weight per block, and a query visits blocks by their upper bound until no unseen block can
-hold a nearer example than the k found, so neighbours are exact. Their distance-weighted votes are calibrated by a
-logistic curve that is fitted on the examples with each left out of its own vote.
+A bounded sample of labelled documents (EXAMPLES rows at most, the documented bound) is the index. Terms are all of its
+words; their document frequencies come from all documents. The postings of a query's terms are summed for every example
+that shares one, so neighbours are exact. Their distance-weighted votes are calibrated by a logistic curve that is
+fitted on the examples with each left out of its own vote.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,31 +22,25 @@ from ._text import BY_ALNUM, blocks, list_array, words
 from .quality import held_out
 
 THRESHOLD = 0.7
-EXAMPLES, TERMS, MIN_DOCS = 12_000, 1024, 5
-#: A term needs this association with the class: chi-square by significance, and as a share of the examples.
-MIN_CHI2, MIN_PHI2 = 10.8, 0.015
-NEIGHBOURS, BLOCK_ROWS, EVIDENCE = 15, 64, 3
+EXAMPLES = 12_000
+NEIGHBOURS, EVIDENCE = 15, 3
 #: Results of equal vectors that a task keeps.
 KNOWN = 20_000
 PRIOR_WEIGHT, NEAR = 0.5, 0.05
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that hold a word, by 64-bit word hash."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each block, as 64-bit hashes."""
     for batch in batches:
-        y = batch.column("_label").to_numpy(zero_copy_only=False)
-        for lo, _, data, offs in blocks(batch.column("_body")):
-            h, _, _, first = words(data, offs, BY_ALNUM)
-            own = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            label = np.repeat(y[lo : lo + len(own)], [len(x) for x in own])
-            term, at = np.unique(np.concatenate(own), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(np.bincount(at[label == 0], minlength=len(term))), pa.array(np.bincount(at[label == 1], minlength=len(term)))], ["term", "n0", "n1"])
+        for _, _, data, offs in blocks(batch.column("_body")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(data, offs, BY_ALNUM)[0]).astype(np.int64))], ["term"])
 
 
-def _vectors(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the chosen terms in whole texts; terms are sorted hashes, a vector holds their places."""
+def _vectors(chosen: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of the terms in whole texts; chosen broadcasts their sorted hashes, a vector holds their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = chosen.value
         maybe = np.zeros(1 << 16, bool)
         maybe[terms >> np.uint64(48)] = True
         for batch in batches:
@@ -64,14 +58,17 @@ def _vectors(terms: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per chosen term in a partition: a row per term, not one per document and term."""
-    total = np.zeros(TERMS, np.int64)
-    for batch in batches:
-        column = batch.column("terms")
-        total += np.bincount(column.flatten().to_numpy(), minlength=TERMS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["t", "n"])
+def _frequencies(n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents per term in a partition: a row per term, not one per document and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            np.add.at(total, batch.column("terms").flatten().to_numpy(), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["t", "n"])
+
+    return run
 
 
 def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -82,38 +79,33 @@ def weigh(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class BlockMaxIndex:
-    """Examples in blocks: postings per block, and each term's largest weight per block."""
+class ExampleIndex:
+    """Examples by term: the postings of term t are those from start[t] to start[t + 1]."""
 
     ids: np.ndarray
     labels: np.ndarray
     shares: np.ndarray
     idf: np.ndarray
-    bound: np.ndarray
-    posting_term: list[np.ndarray]
-    posting_row: list[np.ndarray]
-    posting_weight: list[np.ndarray]
+    start: np.ndarray
+    posting_row: np.ndarray
+    posting_weight: np.ndarray
     base: float = 0.5
     slope: float = 1.0
     offset: float = 0.0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0; ties go to the earlier row."""
-        upper = weights @ self.bound[terms]
-        query = np.zeros(len(self.idf))
-        query[terms] = weights
-        rows, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-upper, kind="stable").tolist():
-            if upper[b] <= 0 or (len(rows) >= k and cosines[k - 1] > upper[b] + 1e-12):
-                break
-            own = np.bincount(self.posting_row[b], query[self.posting_term[b]] * self.posting_weight[b], BLOCK_ROWS)
-            hit = np.flatnonzero(own > 0)
-            at = hit + b * BLOCK_ROWS
-            at, value = at[at != without], own[hit[at != without]]
-            rows, cosines = np.concatenate((rows, at)), np.concatenate((cosines, value))
-            best = np.lexsort((rows, -np.round(cosines, 12)))[:k]
-            rows, cosines = rows[best], cosines[best]
-        return rows, cosines
+        own = np.zeros(len(self.ids))
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            a, b = self.start[t], self.start[t + 1]
+            own[self.posting_row[a:b]] += w * self.posting_weight[a:b]
+        if without >= 0:
+            own[without] = 0
+        value = np.round(own, 12)
+        least = np.partition(value, -k)[-k] if len(value) > k else 0.0
+        rows = np.flatnonzero((own > 0) & (value >= least))
+        rows = rows[np.lexsort((rows, -value[rows]))[:k]]
+        return rows, own[rows]
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         weight = self.shares[rows] / (1 - np.minimum(cosines, 1) + NEAR)
@@ -129,21 +121,17 @@ def _logit(p: float | np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def build_index(ids: np.ndarray, labels: np.ndarray, shares: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> BlockMaxIndex:
-    """shares: rows of the labelled table that an example stands for. Examples with the same leading term lie together."""
+def build_index(ids: np.ndarray, labels: np.ndarray, shares: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> ExampleIndex:
+    """shares: rows of the labelled table that an example stands for. Examples lie in the order of their ids."""
     weights = [weigh(t, c, idf) for t, c in vectors]
-    lead = np.array([t[np.argmax(w)] if len(t) else -1 for (t, _), w in zip(vectors, weights, strict=True)], np.int64)
-    order = np.lexsort((ids, lead))
-    n_blocks = max(1, -(-len(ids) // BLOCK_ROWS))
-    bound = np.zeros((len(idf), n_blocks))
-    terms, rows, values = [], [], []
-    for b in range(n_blocks):
-        own = order[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS].tolist()
-        terms.append(np.concatenate([vectors[i][0] for i in own] or [np.zeros(0, np.int64)]).astype(np.int64))
-        rows.append(np.repeat(np.arange(len(own)), [len(vectors[i][0]) for i in own]))
-        values.append(np.concatenate([weights[i] for i in own] or [np.zeros(0)]))
-        np.maximum.at(bound[:, b], terms[b], values[b])
-    index = BlockMaxIndex(ids[order], labels[order].astype(float), shares[order].astype(float), idf, bound, terms, rows, values)
+    order = np.argsort(ids, kind="stable")
+    own = order.tolist()
+    terms = np.concatenate([vectors[i][0] for i in own] or [np.zeros(0, np.int64)]).astype(np.int64)
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(vectors[i][0]) for i in own])
+    values = np.concatenate([weights[i] for i in own] or [np.zeros(0)])
+    by_term = np.argsort(terms, kind="stable")
+    start = np.concatenate(([0], np.cumsum(np.bincount(terms, minlength=len(idf)))))
+    index = ExampleIndex(ids[order], labels[order].astype(float), shares[order].astype(float), idf, start, rows[by_term], values[by_term])
     empty = np.array([not len(vectors[i][0]) for i in order], bool)
     pool = empty if empty.any() else np.ones(len(ids), bool)
     total = index.shares[pool].sum()
@@ -172,10 +160,11 @@ def calibrate(votes: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tupl
     return float(beta[0]), float(beta[1])
 
 
-def _score(index: BlockMaxIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: ExampleIndex = shared.value
         plain = index.score(index.base)
-        known: dict[tuple[bytes, bytes], tuple[float, list[dict]]] = {}
+        known: dict[bytes, tuple[float, list[dict]]] = {}
         kind = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
@@ -187,7 +176,7 @@ def _score(index: BlockMaxIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     evidence.append([])
                     continue
                 t, c = flat_t[a:b], flat_c[a:b]
-                seen = (t.tobytes(), c.tobytes())
+                seen = hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest()
                 if seen not in known:
                     if len(known) >= KNOWN:
                         known.clear()
@@ -206,7 +195,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Labels are learnt only from rows with crc32(id) mod 3 <> 1; of each class the examples/2 rows with the smallest
     hashed ids are the index, weighted for the rows they stand for. Scores read whole texts and nothing else. Texts
-    without a chosen term, empty and null ones too, get the calibrated rate of such examples and no evidence. Labels
+    without a word of the examples, empty and null ones too, get the calibrated rate of such examples and no evidence. Labels
     other than 0 and 1 and null or unknown ids are ignored. An empty table gives an empty result; without labels every
     score is 0.5. Other columns are not read.
     """
@@ -217,17 +206,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sample = materialize(picked[0].unionByName(picked[1]), "examples")
     texts = src.join(F.broadcast(sample), F.col("_id") == F.col("_known"))
     n = {y: min(totals.get(y, 0), examples // 2) for y in (0, 1)}
-    seen = texts.select("_label", "_body").mapInArrow(_term_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    e1 = (F.col("n0") + F.col("n1")) * (n[1] / max(1, n[0] + n[1]))
-    gap, spread = F.col("n1") - e1, e1 * (1 - n[1] / max(1, n[0] + n[1])) * (1 - (F.col("n0") + F.col("n1")) / (n[0] + n[1] + 1.0))
-    chosen = seen.where(F.col("n0") + F.col("n1") >= MIN_DOCS).withColumn("chi2", gap * gap / F.greatest(spread, F.lit(1e-9))).where(F.col("chi2") >= max(MIN_CHI2, MIN_PHI2 * (n[0] + n[1]))).orderBy(F.col("chi2").desc(), "term").limit(TERMS)
-    terms = np.sort(np.array([r.term for r in chosen.select("term").collect()], np.int64).view(np.uint64))
-    vectors = materialize(src.mapInArrow(_vectors(terms), "_id long, terms array<int>, counts array<int>"), "vectors")
+    context = src.sparkSession.sparkContext
+    found = texts.select("_body").mapInArrow(_words, "term long").distinct().toArrow().column("term").to_numpy()
+    terms = np.sort(found.astype(np.int64).view(np.uint64))
+    vectorise, kind = _vectors(context.broadcast(terms)), "_id long, terms array<int>, counts array<int>"
+    vectors = src.mapInArrow(vectorise, kind)
+    seen = vectors.select("terms").mapInArrow(_frequencies(len(terms)), "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(len(terms))
-    for r in vectors.select("terms").mapInArrow(_frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        frequency[r.t] = r.n
-    idf = np.log((vectors.count() + 1) / (frequency + 1)) + 1
-    rows = vectors.join(F.broadcast(sample), F.col("_id") == F.col("_known")).select("_id", "_label", "terms", "counts").dropDuplicates(["_id"]).collect()
+    frequency[seen.column("t").to_numpy()] = seen.column("n").to_numpy()
+    idf = np.log((src.count() + 1) / (frequency + 1)) + 1
+    rows = texts.select("_id", "_body").mapInArrow(vectorise, kind).join(F.broadcast(sample), F.col("_id") == F.col("_known")).select("_id", "_label", "terms", "counts").dropDuplicates(["_id"]).collect()
     share = {y: totals.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     index = build_index(
         np.array([r._id for r in rows], np.int64),
@@ -236,5 +224,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         [(np.array(r.terms, np.int64), np.array(r.counts, np.int64)) for r in rows],
         idf,
     )
-    scored = vectors.mapInArrow(_score(index), "_id long, score double, evidence array<struct<example_id: long, cosine: double, toxic: int>>")
+    scored = vectors.mapInArrow(_score(context.broadcast(index)), "_id long, score double, evidence array<struct<example_id: long, cosine: double, toxic: int>>")
     return scored.select(F.col("_id").alias(id_col), held_out("_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

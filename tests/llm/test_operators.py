@@ -249,6 +249,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_rare_words(spark):
+    texts = [(k, " ".join(f"rare{k % 150}x{i}" for i in range(20))) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, int(k % 150 < 30)) for k in range(300)], "doc_id long, quality int, toxic int")
+    got = rows(toxicity.toxicity_scores(frame(spark, texts), labels))
+    held = [k for k in got if got[k].held_out and not got[(k + 150) % 300].held_out]
+    assert len(held) > 20
+    for k in held:
+        (e,) = got[k].evidence
+        assert (e.example_id, e.toxic) == ((k + 150) % 300, int(k % 150 < 30)) and abs(e.cosine - 1) < 1e-9
+    assert min(got[k].score for k in held if k % 150 < 30) > max(got[k].score for k in held if k % 150 >= 30)
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(8)
     idf = rng.uniform(1, 4, 50)
