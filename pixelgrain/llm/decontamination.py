@@ -4,7 +4,8 @@ Fixed masks pick some of the tokens of each window and ignore the rest, so a see
 benchmark items are joined with the seeds of every position of every document inside the task that reads the document;
 around each hit the item is laid over the document on the same diagonal and the overlap is counted with a price for
 each substituted word. Items are taken in blocks of bounded size, one pass over the documents per block, so what is
-sent to the tasks has a fixed bound however large the benchmark is, and documents are never shuffled.
+sent to the tasks has a fixed bound however large the benchmark is, and documents are never shuffled. Items that are
+shorter than a window are looked up whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import text_bytes
-from ._text import BY_ALNUM, blocks, mix, words
+from ._text import BY_ALNUM, blocks, grams, mix, words
 
 #: Masks of weight 5 over windows of 8 tokens; 1 is compared, 0 ignored.
 MASKS = ("11010011", "10110101", "11100101", "10011011")
@@ -53,7 +54,10 @@ def seeds(h: np.ndarray) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class Index:
-    """Items of a block: token hashes of all of them, and their seeds in sorted order with item and position."""
+    """Items of a block: token hashes of all of them, and their seeds in sorted order with item and position.
+
+    short: (length, sorted hashes, items) of the items below SPAN tokens.
+    """
 
     ids: list[int]
     tokens: list[np.ndarray]
@@ -61,6 +65,7 @@ class Index:
     item: np.ndarray
     position: np.ndarray
     filter: np.ndarray
+    short: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def build_index(ids: list[int], texts: list[bytes]) -> Index:
@@ -74,7 +79,14 @@ def build_index(ids: list[int], texts: list[bytes]) -> Index:
     order = np.argsort(seed, kind="stable")
     hit = np.zeros(1 << _FILTER_BITS, bool)
     hit[seed >> _U(64 - _FILTER_BITS)] = True
-    return Index(ids, tokens, seed[order], item[order], position[order], hit)
+    short = []
+    for n in range(1, SPAN):
+        own = np.array([k for k, t in enumerate(tokens) if len(t) == n], np.int64)
+        if len(own):
+            whole = np.concatenate([grams(tokens[k], n) for k in own])
+            by_hash = np.argsort(whole, kind="stable")
+            short.append((n, whole[by_hash], own[by_hash]))
+    return Index(ids, tokens, seed[order], item[order], position[order], hit, short)
 
 
 def tolerant_runs(same: np.ndarray) -> np.ndarray:
@@ -127,7 +139,23 @@ def find(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int,
                 end = max(end, a + where[-1] + 1)
         if begin is not None:
             out.append((doc, item, int(covered.sum()), int(begin - first[doc]), int(end - first[doc])))
-    return out
+    return out + find_short(index, h, first)
+
+
+def find_short(index: Index, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Items below SPAN tokens that stand in a document as they are; from the first to the last place."""
+    places: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, whole, items in index.short:
+        own = grams(h, n)
+        low, high = np.searchsorted(whole, own, "left"), np.searchsorted(whole, own, "right")
+        at = np.flatnonzero(high > low)
+        doc = np.searchsorted(first, at, "right") - 1
+        inside = at + n <= first[doc + 1]
+        for a, d in zip(at[inside].tolist(), doc[inside].tolist(), strict=True):
+            for item in items[low[a] : high[a]].tolist():
+                begin = places[d, item][1] if (d, item) in places else int(a - first[d])
+                places[d, item] = (n, begin, int(a + n - first[d]))
+    return [(d, item, *place) for (d, item), place in places.items()]
 
 
 def _search(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -148,8 +176,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """Rows (doc_id, item_id, item_tokens, covered_tokens, first_token, end_token, coverage) of contaminated documents.
 
     Tokens are runs of ASCII letters, digits and bytes beyond ASCII, A-Z folded. A document is reported with an item
-    when tolerant runs hold at least that share of the item's tokens. Items of fewer than 8 tokens have no window and
-    are not searched. Null or empty texts and null item ids match nothing; a null doc_id is reported as null. Repeated
+    when tolerant runs hold at least that share of the item's tokens. Items of fewer than 8 tokens
+    have no window and are found only as they are, all of their tokens in a row. Null or empty texts and null item ids match nothing; a null doc_id is reported as null. Repeated
     rows are reported each, repeated items once per row. Other columns are not read; an empty table on either side gives
     an empty result.
     """

@@ -319,6 +319,13 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontamination.drop_contaminated(table, bench).collect()} == {1, 3, 6, 7, None}
 
 
+def test_decontamination_by_short_items(spark):
+    docs = frame(spark, [(0, "one Two three, two three four"), (1, "two"), (2, "three"), (3, "a b c d e f g h"), (4, "a b c x d e f g"), (5, None)])
+    bench = spark.createDataFrame([(0, "two three"), (1, "a b c d e f g"), (2, "two three"), (3, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.covered_tokens, r.first_token, r.end_token, r.coverage) for r in decontamination.overlaps(docs, bench).collect()}
+    assert got == {(0, 0, 2, 1, 5, 1.0), (0, 2, 2, 1, 5, 1.0), (3, 1, 7, 0, 7, 1.0)}
+
+
 def test_pii(spark):
     texts = ["call +1 (743) 555-3824 or 743-555-3824!! card 4539578763621486, bad 4539578763621487, 4539 5787 6362 1486", "ip 42.144.35.254, 300.1.1.1 on 1999-02-28, 02/28/1999, 28.02.1999 not 1999-02-30; 123-45-6789 666-45-6789", "mail Ab.22@mail7.example.com.", "", None, "nothing here", "x" * 50000 + " 42.144.35.254"]
     docs = frame(spark, list(enumerate(texts)))
