@@ -3,13 +3,15 @@
 Merges only ever build tokens of the vocabulary, so a byte pair that stands inside no token is never joined: it marks a
 certain cut. Words are cut at all such pairs, the fragments are encoded independently (each distinct one once while it
 stays in a bounded cache), and the results are put together again. Only the last fragment of a word carries the
-end-of-word mark. Normalising and word splitting follow the tokenizer file; texts outside plain Latin letters use the
-library's own normaliser and splitter.
+end-of-word mark: its last byte is spelt by a letter of its own, so one model without marks serves all fragments.
+Normalising and word splitting follow the tokenizer file; texts outside plain Latin letters use the library's own
+normaliser and splitter.
 """
 
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -22,16 +24,24 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from ._text import list_array
+from ._base import bound_batches
+from ._text import column_buffers, list_array
 
-CACHED_WORDS = 200_000
-RUN_BYTES = 1 << 19
+#: Words that a worker remembers, some 200 bytes each, and those that are encoded at once, some 2 KB each meanwhile.
+CACHED_WORDS, LEARNT_WORDS = 150_000, 4096
+RUN_BYTES = 1 << 18
 
 #: Latin letters that fold one to one and that NFC leaves alone, white space and printable ASCII: the fast path's range.
 _LETTERS = "a-zß-öø-įı-ž"
 _OTHER = re.compile("[^\t-\r -~À-ÖØ-öø-įı-ňŊ-ž]")
 _WORD = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}0-9]+")
 
+#: The normaliser and the splitter that the fast path stands for.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that spell the last byte of a word begin here (a private-use area, which byte letters never reach).
+_LAST = 0xE000
+
 
 def byte_letters() -> list[str]:
     """The letter that byte-level vocabularies use for each byte: printable ones stand for themselves, others follow from 256 on."""
@@ -71,30 +81,44 @@ class Store:
         return self.data[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
+def check_kind(body: dict) -> None:
+    """Refuse tokenizer files whose rules are not those of the fast path."""
+    model = body["model"]
+    steps = [s.get("type") for s in (body.get("normalizer") or {}).get("normalizers", [])]
+    split = (body.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if model.get("type", "BPE") != "BPE" or not plain or not model.get("end_of_word_suffix") or steps != NORMALIZER or split[0].get("pattern", {}).get("Regex") != WORDS or [s.get("type") for s in split] != ["Split", "ByteLevel"] or body.get("decoder"):
+        raise ValueError("not a lower-case byte-level BPE file with word ends")
+
+
 class Codec:
     """Encoder and decoder for a tokenizer file of the word-end BPE kind, given as its JSON text."""
 
     def __init__(self, spec: str) -> None:
-        self.whole = Tokenizer.from_str(spec)
-        self.whole.no_truncation()
-        self.whole.no_padding()
         body = json.loads(spec)
-        model = body["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.inner = Tokenizer(BPE(model["vocab"], merges))
-        self.last = Tokenizer(BPE(model["vocab"], merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        check_kind(body)
+        model = body.pop("model")
+        vocab, self.suffix = model["vocab"], model["end_of_word_suffix"]
+        added = body.get("added_tokens") or []
+        self.rules = Tokenizer.from_str(json.dumps(body | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.letters = byte_letters()
         self.byte_of = {c: b for b, c in enumerate(self.letters)}
-        self.joined = self._joined_pairs(model["vocab"])
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.model = Tokenizer(BPE({self._spelt(t): i for t, i in vocab.items()}, [(self._spelt(a), self._spelt(b)) for a, b in merges]))
+        self.joined = self._joined_pairs(vocab)
         self.spelling = dict(enumerate(self.letters))
+        self.last_letter = {c: chr(_LAST + b) for c, b in self.byte_of.items()}
         self.letters_of = Store(np.uint8)  # spelling of each id, with the space that decoding puts behind it
-        names = {i: t for t, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in body.get("added_tokens", []))]}
+        names = {i: t for t, i in [*vocab.items(), *((t["content"], t["id"]) for t in added)]}
         self.letters_of.extend([f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)])
-        self.special = {t["content"]: t["id"] for t in body.get("added_tokens", [])}
+        self.special = {t["content"]: t["id"] for t in added}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._forget()
 
+    def _spelt(self, token: str) -> str:
+        bare = token.removesuffix(self.suffix)
+        return bare[:-1] + chr(_LAST + self.byte_of[bare[-1]]) if bare != token else token
+
     def _joined_pairs(self, vocab: dict[str, int]) -> np.ndarray:
         joined = np.zeros((256, 256), bool)
         for token in vocab:
@@ -128,14 +152,14 @@ class Codec:
 
     def words(self, text: str) -> list[str]:
         """Normalised words in order; the keys of the cache."""
-        pieces = self.split.split(text) if self.split and "<" in text else [text]
+        pieces = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
         out: list[str] = []
         for k, piece in enumerate(pieces):
             if k % 2:
                 out.append("\0" + piece)
             elif _OTHER.search(piece):
-                normal = self.whole.normalizer.normalize_str(piece)
-                out += [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
+                normal = self.rules.normalizer.normalize_str(piece)
+                out += [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
             elif piece:
                 out += _WORD.findall(piece.lower())
         return out
@@ -146,10 +170,11 @@ class Codec:
         for k, parts in cut.items():
             tails[k] = parts[-1]
         heads = list({f for parts in cut.values() for f in parts[:-1]})
+        ends = [t[:-1] + self.last_letter[t[-1]] for t in tails]
         gc.disable()  # a great many small objects without cycles
         try:
-            inner = {f: e.ids for f, e in zip(heads, self.inner.encode_batch_fast(heads, add_special_tokens=False), strict=True)} if heads else {}
-            last = [e.ids for e in self.last.encode_batch_fast(tails, add_special_tokens=False)]
+            done = [e.ids for e in self.model.encode_batch_fast(heads + ends, add_special_tokens=False)]
+            inner, last = dict(zip(heads, done, strict=False)), done[len(heads) :]
             for k, parts in cut.items():
                 last[k] = [i for f in parts[:-1] for i in inner[f]] + last[k]
             self.ids.extend(last)
@@ -162,9 +187,9 @@ class Codec:
             self._forget()
         look = self.index.__getitem__
         own = [np.fromiter(map(look, words), np.int64, len(words)) for words in map(self.words, texts)]
-        if self.index.new:
-            self.learn(self.index.new)
-            self.index.new = []
+        new, self.index.new = self.index.new, []
+        for k in range(0, len(new), LEARNT_WORDS):
+            self.learn(new[k : k + LEARNT_WORDS])
         numbers = np.concatenate(own)
         last = np.cumsum([len(x) for x in own])
         ids, ends = self.ids.take(numbers)
@@ -175,22 +200,33 @@ class Codec:
         return ids, np.diff(stop, prepend=0), [spelt[a : max(a, b - 1)] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[bytes, Codec] = {}
 
 
-def _encode(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codecs.setdefault(hash(spec), None) or Codec(spec)
+def worker_codec(spec: str) -> Codec:
+    """The codec of a file, kept by the worker that runs many tasks with it; only the one used last.
+
+    A function of the module and not part of the task's closure, which would carry a copy of the dictionary.
+    """
+    own = hashlib.sha256(spec.encode()).digest()
+    if own not in _codecs:
         _codecs.clear()
-        _codecs[hash(spec)] = codec
+        _codecs[own] = Codec(spec)
+    return _codecs[own]
+
+
+def _encode(spec: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """spec: broadcast of the file's JSON text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_codec(spec.value)
         for batch in batches:
-            texts, lo = batch.column("_text").to_pylist(), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= RUN_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
-                ids, counts, decoded = codec.run(texts[lo:hi])
+            texts = batch.column("_text")
+            offs, _ = column_buffers(texts)
+            lo, n = 0, len(texts)
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + RUN_BYTES, "right")) - 1)
+                ids, counts, decoded = codec.run(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(lo, hi - lo), list_array(ids, counts), pa.array(decoded, pa.binary()).cast(pa.string())], ["_id", "ids", "decoded"])
                 lo = hi
 
@@ -200,15 +236,19 @@ def _encode(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, decoded string; whole texts.
 
-    The tokenizer file is read on the driver and travels with the tasks (its size is that of the vocabulary). Null texts
-    count as empty and give no ids. Strings of special tokens inside a text become their ids, as in the library. Null or
-    repeated ids pass through; other columns of docs are not read.
+    The tokenizer file is read on the driver and broadcast (its size is that of the vocabulary); files whose rules are
+    not those of this codec are refused. Null texts count as empty and give no ids, and a text of white space decodes to
+    an empty one. Strings of special tokens inside a text become their ids, as in the library. Null or repeated ids pass
+    through row by row; other columns of docs are not read; an empty table gives an empty result. A very long text is
+    encoded alone.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         spec = file.read()
+    check_kind(json.loads(spec))
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
-    return src.mapInArrow(_encode(spec), f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
+    return src.mapInArrow(_encode(docs.sparkSession.sparkContext.broadcast(spec)), f"_id {kind}, ids array<int>, decoded string").withColumnRenamed("_id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
