@@ -1,7 +1,7 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame expressions only.
 
-Card numbers (Luhn), North American phone numbers, social security numbers, IPv4 addresses, calendar dates and the
-local parts of mail addresses are found by one pattern, validated, and replaced by the value that a keyed permutation
+Card numbers (Luhn), IBANs (mod 97), phone numbers with a North American or any other country code, social security
+numbers, IPv4 addresses, calendar dates and the local parts of mail addresses, of any length and script, are found by one pattern, validated, and replaced by the value that a keyed permutation
 of their format gives. A value is a list of symbols with a radix each (digits, octets, two factors of the days of a
 400-year cycle); every round adds a keyed hash of one half to the other half, symbol by symbol and modulo its radix.
 That is a permutation, so equal values get equal pseudonyms in every document and in every way of writing them,
@@ -16,19 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KINDS = ("email", "ip", "date", "ssn", "phone", "card")
+KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "intl", "card")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}\p{M}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "intl": r"(?<![0-9A-Za-z+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}(?![0-9])",
     "card": r"(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",
 }
 ANY = "|".join(PATTERNS[k] for k in KINDS)
 
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = "1|7"
+LONG_CODES = "20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98"
+
 #: The Gregorian calendar repeats after 146097 = 189 * 773 days; cycles begin on 1600-01-01.
 CYCLE, CYCLE_RADICES, CYCLE_START = 146097, (189, 773), "1600-01-01"
 
@@ -145,15 +151,71 @@ def _date(s: Column, key: str) -> Column:
     return F.when(s.contains("-"), written("yyyy-MM-dd")).when(s.contains("/"), written("MM/dd/yyyy")).otherwise(written("dd.MM.yyyy"))
 
 
+def _intl(s: Column, key: str) -> Column:
+    """Digits after the country code; whether the first of them is a zero stays as it is."""
+    bare = F.regexp_replace(s, "[^0-9]", "")
+    code = F.when(bare.rlike(f"^(?:{SHORT_CODES})"), 1).when(bare.rlike(f"^(?:{LONG_CODES})"), 2).otherwise(3)
+
+    def moved(d: Column) -> Column:
+        own = F.slice(d, code + 1, F.size(d) - code)
+        low = F.transform(own, lambda v, i: F.when((i == 0) & (v > 0), 1).otherwise(0))
+        radix = F.transform(own, lambda v, i: F.when(i > 0, 10).when(v > 0, 9).otherwise(1))
+        tweak = F.concat(F.lit("intl|"), F.substring(bare, F.lit(1), code))
+        return _put_digits(s, F.zip_with(permute(F.zip_with(own, low, lambda a, b: a - b), radix, tweak, key), low, lambda a, b: a + b), code)
+
+    return _let(_digits(s), moved)
+
+
+def _mod97(chars: Column) -> Column:
+    """Remainder of an account number's characters, letters counted as 10 to 35."""
+
+    def step(rest: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), (rest * 10 + c.cast("int")) % 97).otherwise((rest * 100 + F.ascii(c) - 55) % 97)
+
+    return F.aggregate(chars, F.lit(0), step)
+
+
+def _iban(s: Column, key: str) -> Column:
+    """Country and grouping stay, the account is permuted letter to letter and digit to digit, check digits are computed anew."""
+    bare = F.replace(s, F.lit(" "), F.lit(""))
+    country = F.substring(bare, 1, 2)
+
+    def moved(account: Column) -> Column:
+        low = F.transform(account, lambda c: F.when(c.between("0", "9"), 48).otherwise(65))
+        radix = F.transform(account, lambda c: F.when(c.between("0", "9"), 10).otherwise(26))
+        values = F.zip_with(account, low, lambda c, b: F.ascii(c) - b)
+        new = F.zip_with(permute(values, radix, F.concat(F.lit("iban|"), country), key), low, lambda v, b: F.char(v + b))
+        check = lambda n: F.lpad((98 - _mod97(F.concat(n, _chars(F.concat(country, F.lit("00")))))).cast("string"), 2, "0")
+        return _let(new, lambda n: _let(F.concat(_chars(F.concat(country, check(n))), n), lambda flat: _grouped(s, flat)))
+
+    account = _chars(F.substring(bare, F.lit(5), F.length(bare) - 4))
+    valid = _mod97(F.concat(account, _chars(F.substring(bare, 1, 4)))) == 1
+    return F.when(valid, _let(account, moved))
+
+
+def _grouped(shape: Column, flat: Column) -> Column:
+    """flat's characters in place of those of shape that are no spaces."""
+    before = lambda i: F.length(F.replace(F.substring(shape, F.lit(1), i), F.lit(" "), F.lit("")))
+    return F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)) == " ", " ").otherwise(F.element_at(flat, before(i)))))
+
+
+def _letter(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+
+
 def _email(s: Column, key: str) -> Column:
-    """Letters and digits of the local part are permuted, letter to letter and digit to digit; the domain stays."""
+    """The local part is permuted character by character, the domain stays.
+
+    Letters move to letters and digits to digits; characters beyond ASCII move among the 64 of their block.
+    """
     local, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
 
     def moved(chars: Column) -> Column:
-        low = F.transform(chars, lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).otherwise(F.ascii(c)))
-        radix = F.transform(chars, lambda c: F.when(c.between("0", "9"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1))
+        wide = lambda c: F.ascii(c) >= 128
+        low = F.transform(chars, lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65).when(wide(c), F.ascii(c) - F.ascii(c) % 64).otherwise(F.ascii(c)))
+        radix = F.transform(chars, lambda c: F.when(c.between("0", "9"), 10).when(c.rlike("[A-Za-z]"), 26).when(wide(c), 64).otherwise(1))
         values = F.zip_with(chars, low, lambda c, b: F.ascii(c) - b)
-        new = F.zip_with(permute(values, radix, F.concat(F.lit("email|"), F.lower(domain)), key), low, lambda v, b: F.char(v + b))
+        new = F.zip_with(permute(values, radix, F.concat(F.lit("email|"), F.lower(domain)), key), low, lambda v, b: F.when(v + b < 128, F.char(v + b)).otherwise(_letter(v + b)))
         return F.concat(F.concat_ws("", new), F.lit("@"), domain)
 
     return _let(_chars(local), moved)
@@ -170,7 +232,7 @@ def kind_of(s: Column) -> Column:
 
 def pseudonym(s: Column, kind: Column, key: str) -> Column:
     """Pseudonym of a found string, null when validation fails."""
-    forms = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+    forms = {"email": _email, "iban": _iban, "intl": _intl, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
     out = F.lit(None).cast("string")
     for k in reversed(KINDS):
         out = F.when(kind == k, forms[k](s, key)).otherwise(out)
@@ -181,7 +243,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per row of docs: doc_id, text with pseudonyms, n_replaced, kinds (sorted, distinct).
 
     Strings that look like a kind but fail its validation stay as they are. Null texts stay null with nothing replaced,
-    empty ones stay empty. Null or repeated ids pass through; other columns of docs are not read. No shuffle, no Python.
+    empty ones stay empty. Null or repeated ids pass through row by row, equal values get equal pseudonyms in all rows;
+    other columns of docs are not read; an empty table gives an empty result. A text of any length is handled whole: what
+    is found is bounded by it alone. No shuffle, no Python.
     """
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = src.withColumn("_found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
