@@ -8,12 +8,11 @@ repeated run gives the same records.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
-import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -156,7 +155,8 @@ def derivatives(records: DataFrame, key_col: str | None = None) -> DataFrame:
     """Metadata and conversion records of all responses in records, two rows each; other record types are passed over.
 
     key_col names a column of records that is kept beside the derivatives. Records without an id give nothing, empty
-    blocks give an empty text. Repeated responses give repeated derivatives. No shuffle.
+    blocks give an empty text. Repeated responses give repeated derivatives. Columns beside those of a record are not read,
+    whatever their names; an empty table gives an empty result. A very long page is converted whole. No shuffle.
     """
     key = F.col(key_col) if key_col else F.lit(0)
     src = records.where("record_type = 'response'").select(key.alias("_key"), "record_id", "target_uri", "date", "block", "payload_digest")
@@ -164,29 +164,77 @@ def derivatives(records: DataFrame, key_col: str | None = None) -> DataFrame:
     return out.withColumnRenamed("_key", key_col) if key_col else out.drop("_key")
 
 
-def parse_records(data: bytes) -> Iterator[tuple]:
-    """Records of a WARC file, plain or gzipped member by member; a torn tail ends the file."""
-    stream: io.BufferedIOBase = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while True:
+_START = re.compile(rb"(?:\A|\n)WARC/[0-9.]+\r?\n")
+
+
+def _members(data: bytes) -> Iterator[bytes | None]:
+    """Contents of gzip members in pieces; None where a member is damaged, and on from the next one that begins well."""
+    at = 0
+    while at < len(data):
+        engine, here = zlib.decompressobj(31), at
         try:
-            line = stream.readline()
-            while line in (b"\r\n", b"\n"):
-                line = stream.readline()
-            if not line.startswith(b"WARC/"):
+            while not engine.eof and here < len(data):
+                piece = data[here : here + (1 << 16)]
+                here += len(piece)
+                if out := engine.decompress(piece):
+                    yield out
+            if not engine.eof:
+                raise zlib.error("torn")
+            at = here - len(engine.unused_data)
+        except zlib.error:
+            yield None
+            following = data.find(b"\x1f\x8b\x08", at + 1)
+            at = following if following >= 0 else len(data)
+
+
+def _complete(held: bytes, final: bool) -> Iterator[tuple[int, tuple | None]]:
+    """(end, record) of the records at the head of held; what is no record is passed over up to the next one's first line.
+
+    A record that isn't all there waits for more, or is passed over when there is no more.
+    """
+    at = 0
+    while found := _START.search(held, at):
+        begin = found.start() + (held[found.start()] == 10)
+        blank = re.compile(rb"\r?\n\r?\n").search(held, found.end() - 2)
+        if not blank:
+            if not final:
                 return
-            raw, fields = [line], {}
-            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-                raw.append(line)
-                name, _, value = line.decode("utf-8", "replace").partition(":")
-                fields[name.strip().lower()] = value.strip()
-            length = int(fields.get("content-length", 0))
-            block = stream.read(length)
-        except (EOFError, OSError, ValueError):
-            return
-        if len(block) < length:
+            at = found.end() - 1
+            continue
+        fields = {}
+        for line in held[found.end() : blank.start()].splitlines():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        size = fields.get("content-length", "")
+        end = blank.end() + int(size) if size.isascii() and size.isdigit() else -1
+        if end > len(held) and not final:
+            yield begin, None
             return
-        get = fields.get
-        yield (get("warc-record-id"), get("warc-type"), get("warc-refers-to"), get("warc-target-uri"), get("warc-date"), get("content-type"), b"".join(raw).decode("utf-8", "replace") + "\r\n", block, get("warc-block-digest"), get("warc-payload-digest"))
+        if end < 0 or end > len(held):
+            at = found.end() - 1
+            continue
+        get, head = fields.get, held[begin : blank.end()].decode("utf-8", "replace")
+        yield end, (get("warc-record-id"), get("warc-type"), get("warc-refers-to"), get("warc-target-uri"), get("warc-date"), get("content-type"), head, held[blank.end() : end], get("warc-block-digest"), get("warc-payload-digest"))
+        at = end
+
+
+def parse_records(data: bytes) -> Iterator[tuple]:
+    """Records of a WARC file, plain or gzipped in any number of members.
+
+    A record without a usable length, a torn one or a damaged member costs that record alone: reading goes on at the next
+    line that begins a record, or at the next member.
+    """
+    held = b""
+    for piece in _members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        held += piece or b""
+        end = 0
+        for end, record in _complete(held, piece is None):  # noqa: B007
+            if record:
+                yield record
+        held = b"" if piece is None else held[end:]
+    for _, record in _complete(held, True):
+        if record:
+            yield record
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +252,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under path."""
+    """Records of the WARC files under path, a task per file; Spark hands a file over whole, so it must be below 2 GB."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORD)
 
 
