@@ -10,6 +10,7 @@ a digest, documents with such a chunk are compared by their whole normalised tex
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize, text_bytes
+from ._base import bound_batches, materialize, text_bytes, without_rows
 from ._text import SPACES, mix
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
@@ -107,38 +108,63 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are those that are identical without white space. Of a group the row with the most code points of the
-    original text, then the smallest id stays. Null texts count as empty, and all empty texts are one group. Rows that
-    repeat an id share its fate; a row with a null id is grouped too but stays only if no other row of its length does.
-    Other columns of docs are not read, whatever their names. An empty table gives an empty result.
+    original text, then the smallest id stays; a null id comes after all others. Null texts count as empty, and all empty
+    texts are one group. Rows that are alike in id, length and normalised text share their fate. A very long text is cut
+    into chunks like any other. Other columns of docs are not read, whatever their names. An empty table gives an empty
+    result.
     """
+    return _groups(docs, id_col, text_col, digest_bytes).drop("_length")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int = 16) -> DataFrame:
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long").alias("_length"), text_bytes(text_col).alias("_body"))
     id_type = src.schema["_id"].dataType.simpleString()
     recipes = materialize(src.mapInArrow(_recipes(digest_bytes), f"_id {id_type}, _length long, _sha string, _recipe binary"), "recipes")
     ambiguous = materialize(ambiguous_digests(docs, text_col, digest_bytes), "ambiguous")
     keyed = recipes.withColumn("_text", F.lit(None).cast("binary"))
     if not ambiguous.isEmpty():
-        keyed = _by_whole_text(docs, recipes, ambiguous, id_col, text_col, digest_bytes)
-    best = keyed.groupBy("_recipe", "_text").agg(F.max(F.struct(F.col("_length"), (-F.col("_id")).alias("_minus"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    best = best.select(F.col("_recipe").alias("_r"), F.col("_text").alias("_t"), (-F.col("_best._minus")).alias("keep_id"), "group_size")
+        keyed = _by_whole_text(docs, recipes, ambiguous, text_col, digest_bytes)
+    best = keyed.groupBy("_recipe", "_text").agg(F.min(F.struct((-F.col("_length")).alias("_minus"), F.col("_id").isNull().alias("_none"), F.col("_id").alias("_first"))).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    best = best.select(F.col("_recipe").alias("_r"), F.col("_text").alias("_t"), F.col("_best._first").alias("keep_id"), (-F.col("_best._minus")).alias("_most"), "group_size")
     same = (F.col("_recipe") == F.col("_r")) & F.col("_text").eqNullSafe(F.col("_t"))
-    return keyed.join(best, same).select(F.col("_id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("_sha").alias("text_sha256"))
+    kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_length") == F.col("_most"))
+    return keyed.join(best, same).select(F.col("_id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("_sha").alias("text_sha256"), "_length")
 
 
-def _by_whole_text(docs: DataFrame, recipes: DataFrame, ambiguous: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
+def _by_whole_text(docs: DataFrame, recipes: DataFrame, ambiguous: DataFrame, text_col: str, digest_bytes: int) -> DataFrame:
     """recipes with the normalised text beside those lists that hold an ambiguous digest."""
     n = digest_bytes
     parts = F.expr(f"transform(filter(sequence(0, cast(length(_recipe) div {n} as int)), i -> i * {n} < length(_recipe)), i -> substring(_recipe, i * {n} + 1, {n}))")
-    marked = recipes.select("_id", F.explode(parts).alias("_digest")).join(ambiguous, "_digest", "left_semi").select("_id").distinct()
-    bare = F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACES.decode(), "").cast("binary")
-    texts = docs.select(F.col(id_col).alias("_id"), bare.alias("_text")).join(marked, "_id", "left_semi")
-    plain = recipes.join(marked, "_id", "left_anti").withColumn("_text", F.lit(None).cast("binary"))
-    return plain.unionByName(recipes.join(texts.dropDuplicates(["_id"]), "_id"))
+    marked = recipes.select("_sha", F.explode(parts).alias("_digest")).join(ambiguous, "_digest", "left_semi").select("_sha").distinct()
+    texts = docs.select(_normal(text_col).alias("_text")).withColumn("_own", F.sha2("_text", 256))
+    texts = texts.join(marked, F.col("_own") == F.col("_sha"), "left_semi").groupBy("_own", "_text").agg(F.lit(1).alias("_one")).select("_own", "_text")
+    plain = recipes.join(marked, "_sha", "left_anti").withColumn("_text", F.lit(None).cast("binary"))
+    return plain.unionByName(recipes.join(texts, F.col("_sha") == F.col("_own")).drop("_own"))
+
+
+def _normal(text_col: str) -> F.Column:
+    return F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACES.decode(), "").cast("binary")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; columns as they were."""
-    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """docs without the rows that exact_groups drops, columns as they were; of rows that it can't tell apart one stays.
+
+    Rows go by id, length and normalised text, so rows that repeat an id with another text are judged by their own. Null
+    and empty texts are copies of each other. An empty table stays empty; no column name of docs is in the way.
+    """
+    groups = materialize(_groups(docs, id_col, text_col).select(F.col(id_col).alias("_i"), F.col("_length").alias("_l"), F.col("text_sha256").alias("_s"), "kept"), "groups")
+    per_key = groups.groupBy("_i", "_l", "_s").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    again = materialize(per_key.where("_kept AND _n > 1").select("_i", "_l", "_s"), "again")
+    gone = per_key.where("NOT _kept OR _n > 1").select("_i", "_l", "_s")
+    keys = [F.col(f"`{id_col}`"), F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)).cast("long"), F.sha2(_normal(text_col), 256)]
+    once = without_rows(docs, gone, keys)
+    if again.isEmpty():
+        return once
+    names = [f"_key_{k}_{uuid.uuid4().hex[:8]}" for k in range(3)]
+    rows = docs.withColumns(dict(zip(names, keys, strict=True)))
+    same = F.col(names[0]).eqNullSafe(F.col("_i")) & (F.col(names[1]) == F.col("_l")) & (F.col(names[2]) == F.col("_s"))
+    return once.unionAll(rows.join(again.toDF("_i", "_l", "_s"), same, "left_semi").dropDuplicates(names).select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 ORACLE = r"""
