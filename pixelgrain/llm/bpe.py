@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -28,7 +29,7 @@ from ._base import bound_batches
 from ._text import column_buffers, list_array
 
 #: Words that a worker remembers, some 200 bytes each, and those that are encoded at once, some 2 KB each meanwhile.
-CACHED_WORDS, LEARNT_WORDS = 150_000, 4096
+CACHED_WORDS, LEARNT_WORDS = 120_000, 4096
 RUN_BYTES = 1 << 18
 
 #: Latin letters that fold one to one and that NFC leaves alone, white space and printable ASCII: the fast path's range.
@@ -206,8 +207,10 @@ _codecs: dict[bytes, Codec] = {}
 def worker_codec(spec: str) -> Codec:
     """The codec of a file, kept by the worker that runs many tasks with it; only the one used last.
 
-    A function of the module and not part of the task's closure, which would carry a copy of the dictionary.
+    A function of the module and not part of the task's closure, which would carry a copy of the dictionary. A task has
+    one core, so the library's own threads would only add memory.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     own = hashlib.sha256(spec.encode()).digest()
     if own not in _codecs:
         _codecs.clear()

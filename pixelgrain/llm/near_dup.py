@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize, prefilter, text_bytes
+from ._base import bound_batches, discard, materialize, prefilter, text_bytes, without_rows
 from ._text import BLOCK, blocks, list_array, mix, shingle_sets, words
 from .components import UnionFind, connected_components
 
@@ -323,6 +323,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes. A pair at exactly 75 % is missed by all 32 bands with probability 5e-6; pairs that share a band are all
     compared unless other links join them already.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("_id"), text_bytes(text_col).alias("_body"))
     sketches = materialize(src.mapInArrow(_sketches(shingle, slots, bands), "_id long, _n long, _set binary, _bands array<long>"), "sketches")
     classes = sketches.where("_n > 0 AND _id IS NOT NULL").groupBy("_set").agg(F.min("_id").alias("_class")).select(F.col("_set").alias("_s"), "_class")
@@ -354,6 +355,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group, the one with the smallest id; columns as they were."""
-    dropped = near_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    """docs with one document of each near-duplicate group, the one with the smallest id; columns as they were.
+
+    Rows that repeat an id stay or go together: they stay if one of them does. Rows with a null id, null or empty texts
+    stay. An empty table stays empty; no column name of docs is in the way.
+    """
+    groups = near_groups(docs, id_col, text_col).where(F.col(id_col).isNotNull())
+    gone = groups.groupBy(id_col).agg(F.max("kept").alias("_kept")).where(~F.col("_kept")).select(id_col)
+    return without_rows(docs, gone, [F.col(f"`{id_col}`").cast("long")])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, text_bytes
+from ._base import bound_batches, materialize, text_bytes
 from ._text import BY_SPACE, blocks, words
 
 STATISTICS = ("inner_upper", "digit", "mark", "odd_mark", "wide", "line", "word_length", "long_word", "new_word", "new_pair", "marked_word", "shout_word")
@@ -180,6 +180,11 @@ def held_out(id_col: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def _labelled(table: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    known = labels.select(F.col(id_col).alias("_known"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1)").where(~held_out("_known", 5, 0))
+    return table.join(known, F.col("_id") == F.col("_known")).drop("_known", "_id")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
@@ -189,14 +194,31 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     table gives an empty result, and without labels every score is 0.5.
     """
     table = materialize(statistics_table(docs, id_col, text_col), "statistics")
-    known = labels.select(F.col(id_col).alias("_known"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1)").where(~held_out("_known", 5, 0))
-    model = fit(table.join(known, F.col("_id") == F.col("_known")).drop("_known", "_id"))
+    model = fit(_labelled(table, labels, id_col, label_col))
     kind = table.schema["_id"].dataType.simpleString()
     scored = table.mapInArrow(_scores(model), f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(id_col), held_out("_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the classifier predicts to be of class 0; columns as they were."""
-    bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+def _keep_good(model: Discriminant, text_col: str, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows whose text scores at least the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.names.index(text_col)).fill_null("").cast(pa.binary())
+            for lo, hi, data, offs in blocks(text):
+                good = model.score(document_statistics(data, offs)) >= threshold
+                yield batch.slice(lo, hi - lo).filter(pa.array(good))
+
+    return run
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text the classifier predicts to be of class 0; columns as they were, no shuffle of rows.
+
+    Rows are judged one by one, so repeated ids and null ids don't matter. Null and empty texts are scored as texts
+    without words. An empty table stays empty; no column name of docs is in the way.
+    """
+    bound_batches(docs.sparkSession)
+    model = fit(_labelled(statistics_table(docs, id_col, text_col), labels, id_col, label_col))
+    return docs.mapInArrow(_keep_good(model, text_col, threshold), docs.schema)
