@@ -73,3 +73,15 @@ def with_hsv(pixels: DataFrame) -> DataFrame:
     d = d.withColumn("_h", F.when(F.col("_d") <= 1e-9, F.lit(0.0)).otherwise(60 * sector))
     d = d.withColumns({"_h": F.when(F.col("_h") < 0, F.col("_h") + 360).otherwise(F.col("_h")), "_s": F.coalesce(F.try_divide("_d", "_v"), F.lit(0.0))})
     return d.drop("_r", "_g", "_b", "_d")
+
+
+#: A Mersenne prime: products of two states stay below 2^62.
+NOISE_PRIME = 2147483647
+
+
+def noise_state(seed, what, y, x):
+    """A number below NOISE_PRIME from seed, kind of draw and position; columns, arrays and numbers alike, in exact integers."""
+    state = (seed * 7919 + what * 104729 + y * 15485863 + x * 32452843 + 1) % NOISE_PRIME
+    for add in (12345, 67891, 23457):
+        state = ((state * state % NOISE_PRIME) * 48271 + state * 69621 + add) % NOISE_PRIME
+    return state

@@ -51,25 +51,42 @@ def label(mask: np.ndarray, eight: bool = True) -> tuple[np.ndarray, int]:
 
 
 def squared_distance(target: np.ndarray, far: float = 1e20) -> np.ndarray:
-    """Squared Euclidean distance of every pixel to the nearest True pixel: a scan along columns, then parabolas along rows."""
+    """Squared Euclidean distance of every pixel to the nearest True pixel, in time linear in the pixels but for a logarithm.
+
+    Columns give the distance to the nearest target above or below. In a row the best column never moves back as x moves
+    on, so halving finds it: the middle of each gap searches only between the choices of its two neighbours, for all rows
+    and all gaps of a level at once.
+    """
     h, w = target.shape
-    g = np.full((h, w), np.inf)
-    run = np.full(w, np.inf)
-    for y in range(h):
-        run = np.where(target[y], 0, run + 1)
-        g[y] = run
-    run = np.full(w, np.inf)
-    for y in range(h - 1, -1, -1):
-        run = np.where(target[y], 0, run + 1)
-        g[y] = np.minimum(g[y], run)
-    g = np.square(g)
-    best = g.copy()
-    for d in range(1, w):
-        if d * d >= best.max():
-            break
-        best[:, d:] = np.minimum(best[:, d:], g[:, :-d] + d * d)
-        best[:, :-d] = np.minimum(best[:, :-d], g[:, d:] + d * d)
-    return np.where(np.isinf(best), far, best)
+    steps = np.where(target, 0, h + w)
+    for line in (steps, steps[::-1]):
+        for y in range(1, h):
+            np.minimum(line[y], line[y - 1] + 1, out=line[y])
+    none = 4 * (h + w) ** 2
+    g = np.where(steps >= h + w, none, steps.astype(np.int64) ** 2)
+    choice = np.zeros((h, w + 2), np.int64)  # with a column on either side that holds the widest bounds
+    choice[:, w + 1] = w - 1
+    best = np.empty((h, w), np.int64)
+    gap = 1 << max(0, (w - 1).bit_length())
+    seen = np.array([-1, w])
+    while gap >= 1:
+        x = np.arange(gap - 1, w, 2 * gap) if gap > 1 else np.setdiff1d(np.arange(w), seen)
+        x = np.setdiff1d(x, seen)
+        if len(x):
+            at = np.searchsorted(seen, x)
+            low, high = choice[:, seen[at - 1] + 1], choice[:, seen[at] + 1]
+            for rows in np.array_split(np.arange(h), max(1, h * w >> 21)):
+                size = (high[rows] - low[rows] + 1).ravel()
+                ends = np.cumsum(size)
+                column = np.arange(ends[-1]) - np.repeat(ends - size - low[rows].ravel(), size)
+                cell = np.repeat(np.arange(len(size)), size)
+                cost = (g[rows[0] + cell // len(x), column] + np.square(column - x[cell % len(x)])) * w + column
+                least = np.minimum.reduceat(cost, ends - size).reshape(len(rows), len(x))
+                best[rows[:, None], x] = least // w
+                choice[rows[:, None], x + 1] = least % w
+            seen = np.sort(np.concatenate((seen, x)))
+        gap //= 2
+    return np.where(best >= none, far, best.astype(float))
 
 
 def distance_to_background(mask: np.ndarray) -> np.ndarray:
@@ -127,78 +144,98 @@ def clear_border(mask: np.ndarray) -> np.ndarray:
 
 
 def watershed(mask: np.ndarray, tolerance: float = 1.0) -> np.ndarray:
-    """Flood from the highest distance down; a pixel between two peaks that both rise by tolerance above it is a cut.
+    """Flood from the highest distance down; a pixel between two hills that both rise by tolerance above it is a cut.
 
-    Equal distances go in raster order.
+    Pixels are numbered by height, equal ones in raster order, so "flooded before" is a smaller number and a table of the
+    eight neighbours' numbers is all that the flood looks at. Hills are few and have a table of their own: the hill that
+    each has become part of, and its top. Lower hills that meet without a cut become part of the highest.
     """
     h, w = mask.shape
-    wide = w + 2
-    dist = np.zeros((h + 2, wide))
-    dist[1:-1, 1:-1] = distance_to_background(mask)
-    flat = dist.ravel()
-    order = np.flatnonzero(flat > 0)
-    order = order[np.lexsort((order, -flat[order].astype(np.float32)))]
-    level = flat.astype(np.float32).tolist()
-    state = bytearray(flat.size)
-    parent: dict[int, int] = {}
-    peak: dict[int, float] = {}
-    around = (-wide - 1, -wide, -wide + 1, -1, 1, wide - 1, wide, wide + 1)
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for p in order.tolist():
-        roots = list(dict.fromkeys([find(p + o) for o in around if state[p + o] == 1]))
-        here = level[p]
-        if not roots:
-            parent[p], peak[p], state[p] = p, here, 1
-            continue
-        main = max(roots, key=lambda r: peak[r])
-        tall = [r for r in roots if peak[r] - here >= tolerance]
-        cut = len(tall) >= 2
-        for r in roots:
-            if r != main and not (cut and r in tall):
-                parent[r] = main
-        state[p] = 2 if cut else 1
-        if not cut:
-            parent[p] = main
-    return (np.frombuffer(bytes(state), np.uint8).reshape(h + 2, wide) == 1)[1:-1, 1:-1]
+    height = np.pad(distance_to_background(mask), 1).astype(np.float32)
+    inside = np.flatnonzero(height.ravel() > 0)
+    by_height = inside[np.lexsort((inside, -height.ravel()[inside]))]
+    n = len(by_height)
+    number = np.full(height.size, n, np.int64)
+    number[by_height] = np.arange(n)
+    around = np.array([dy * (w + 2) + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], np.int64)
+    near = number[by_height[:, None] + around]
+    flooded = near < np.arange(n)[:, None]
+    hill = np.full(n + 1, -1).tolist()
+    part_of: list[int] = []
+    top: list[float] = []
+
+    def whole(k: int) -> int:
+        while part_of[k] != k:
+            k = part_of[k]
+        return k
+
+    levels = height.ravel()[by_height].tolist()
+    for k, (level, numbers, before) in enumerate(zip(levels, near.tolist(), flooded.tolist(), strict=True)):
+        met: dict[int, None] = {}
+        for j, early in zip(numbers, before, strict=True):
+            if early and hill[j] >= 0:
+                hill[j] = whole(hill[j])
+                met[hill[j]] = None
+        if not met:
+            hill[k] = len(top)
+            part_of.append(len(top))
+            top.append(level)
+        elif len(met) == 1:
+            (hill[k],) = met
+        else:
+            highest = max(met, key=top.__getitem__)
+            steep = {m for m in met if top[m] - level >= tolerance}
+            divided = len(steep) > 1
+            for m in met.keys() - (steep if divided else set()) - {highest}:
+                part_of[m] = highest
+            if not divided:
+                hill[k] = highest
+    out = np.zeros(height.size, bool)
+    out[by_height] = np.array(hill[:n], np.int64) >= 0 if n else False
+    return out.reshape(h + 2, w + 2)[1:-1, 1:-1]
 
 
 # ---------------------------------------------------------------- shapes of objects
 
 #: Chain-code weights of straight and diagonal steps and of corners, and the closing term.
 STRAIGHT, DIAGONAL, CORNER, CLOSING = 0.980, 1.406, -0.091, math.pi
-_STEPS = ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1))
 
 
 def perimeter(shape: np.ndarray) -> float:
-    """Length of the outer contour of one object: its boundary is followed from the first pixel until the walk repeats."""
+    """Length of the outer contour of one object, from the edges between its pixels and the outside.
+
+    The edges are followed from the first pixel's upper one, object on the right. Where they go on straight the contour
+    makes a straight step, where they turn left (the object is on both sides of a corner of the outside, or goes on over
+    a corner) a diagonal one, where they turn right none.
+    """
     grid = np.pad(shape, 1)
-    ys, xs = np.nonzero(grid)
-    if not len(ys):
+    found = np.flatnonzero(grid)
+    if not len(found):
         return 0.0
-    inside = grid.tolist()
-    x, y, heading = int(xs[0]), int(ys[0]), 7
-    codes: list[int] = []
-    origin: tuple[int, int, int] | None = None
+    wide = grid.shape[1]
+    inside = grid.ravel().tolist()
+    # by heading (east, south, west, north): the next corner, and the pixels ahead on the left and the right of a corner
+    move, left, right = (1, wide, -1, -wide), (-wide, 0, -1, -wide - 1), (0, -1, -wide - 1, -wide)
+    corner = begin = int(found[0])
+    heading = 0
+    turns: list[int] = []  # direction of each step, in eighths
     while True:
-        turn = heading + (7 if heading % 2 == 0 else 6)
-        code = next((c % 8 for c in range(turn, turn + 8) if inside[y + _STEPS[c % 8][1]][x + _STEPS[c % 8][0]]), None)
-        if code is None:
-            return math.pi
-        if (x, y, code) == origin:
+        corner += move[heading]
+        if inside[corner + left[heading]]:
+            turns.append((2 * heading - 1) % 8)
+            heading = (heading - 1) % 4
+        elif inside[corner + right[heading]]:
+            turns.append(2 * heading)
+        else:
+            heading = (heading + 1) % 4
+        if corner == begin and heading == 0:
             break
-        origin = origin or (x, y, code)
-        codes.append(code)
-        x, y, heading = x + _STEPS[code][0], y + _STEPS[code][1], code
-    steps = np.array(codes)
-    odd = int((steps % 2).sum())
+    if not turns:
+        return CLOSING
+    steps = np.array(turns)
+    diagonal = int((steps % 2).sum())
     corners = int((steps != np.roll(steps, 1)).sum())
-    return STRAIGHT * (len(steps) - odd) + DIAGONAL * odd + CORNER * corners + CLOSING
+    return STRAIGHT * (len(steps) - diagonal) + DIAGONAL * diagonal + CORNER * corners + CLOSING
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:
@@ -322,19 +359,24 @@ def correlation(image: np.ndarray, template: np.ndarray) -> np.ndarray:
 
 
 def peaks(score: np.ndarray, tw: int, th: int, low: float, most: int) -> list[tuple[int, int, float]]:
-    """(x, y, score) of places that no place within half a template beats; equal ones go to the earlier pixel."""
+    """(x, y, score) of places that no place within half a template beats; equal ones go to the earlier pixel.
+
+    Places are taken from the best one down; each covers what is within half a template, so a place that is covered has a
+    better or earlier one beside it and is none.
+    """
     rx, ry = max(1, tw // 2), max(1, th // 2)
-    h, w = score.shape
-    out = []
-    for flat in np.flatnonzero(score >= low).tolist():
-        y, x = divmod(flat, w)
-        y0, x0 = max(0, y - ry), max(0, x - rx)
-        part = score[y0 : y + ry + 1, x0 : x + rx + 1]
-        s = score[y, x]
-        first = np.flatnonzero(part == part.max())[0]
-        if part.max() == s and divmod(int(first), part.shape[1]) == (y - y0, x - x0):
-            out.append((x, y, float(s)))
-    return sorted(out, key=lambda p: -p[2])[:most]
+    at = np.flatnonzero(score >= low)
+    at = at[np.argsort(-score.ravel()[at], kind="stable")]
+    covered = np.zeros(score.shape, bool)
+    out: list[tuple[int, int, float]] = []
+    for y, x in zip(*(c.tolist() for c in np.unravel_index(at, score.shape)), strict=True):
+        free = not covered[y, x]
+        covered[max(0, y - ry) : y + ry + 1, max(0, x - rx) : x + rx + 1] = True
+        if free:
+            out.append((x, y, float(score[y, x])))
+            if len(out) == most:
+                break
+    return out
 
 
 def area_resize(plane: np.ndarray, factor: float) -> np.ndarray:

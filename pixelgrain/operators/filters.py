@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expressions import NOISE_PRIME, noise_state
 from ..model import clamp, value_columns
 from . import stats
 
@@ -126,14 +127,11 @@ def background(pixels: DataFrame, sigma: float = 40.0, divide: bool = False) ->
 
 
 def noise(pixels: DataFrame, sd_percent: float = 5.0, salt_percent: float = 0.0, seed: int = 1) -> DataFrame:
-    """Gaussian and salt-and-pepper noise from hashes of seed and position: the same on every partitioning and retry."""
+    """Gaussian and salt-and-pepper noise from seed and position: the same on every partitioning, retry and path."""
     span = F.col("hi") - F.col("lo")
-    draw = lambda what: (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "image_id", "y", "x"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    salt = draw("salt") < salt_percent / 100
+    draw = lambda what: (noise_state(F.lit(seed).cast("long"), F.lit(what).cast("long"), F.col("y").cast("long"), F.col("x").cast("long")) + 0.5) / float(NOISE_PRIME)
     out = {}
-    for c in value_columns(pixels):
-        normal = F.sqrt(-2 * F.log(draw(f"u{c}"))) * F.cos(2 * math.pi * draw(f"w{c}"))
-        out[c] = F.when(salt, F.when(draw("white") < 0.5, F.col("hi")).otherwise(F.col("lo"))).otherwise(clamp(F.col(c) + (sd_percent / 100) * span * normal))
+    for k, c in enumerate(value_columns(pixels)):
+        normal = F.sqrt(-2 * F.log(draw(2 + 2 * k))) * F.cos(2 * math.pi * draw(3 + 2 * k))
+        out[c] = F.when(draw(0) < salt_percent / 100, F.when(draw(1) < 0.5, F.col("hi")).otherwise(F.col("lo"))).otherwise(clamp(F.col(c) + (sd_percent / 100) * span * normal))
     return pixels.withColumns(out)
-
-

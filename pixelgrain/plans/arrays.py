@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 
 from .. import kernels
-from ..functions.expressions import LUMA, MAX_DENSITY, STAIN_ORDER, stain_weights
+from ..functions.expressions import LUMA, MAX_DENSITY, NOISE_PRIME, STAIN_ORDER, noise_state, stain_weights
 from ..operators.filters import box_radii, gaussian_weights
 
 
@@ -176,11 +176,13 @@ def background(image: Raster, sigma: float, divide: bool) -> Raster:
 
 
 def noise(image: Raster, sd: float, salt: float, seed: int) -> Raster:
-    rng = np.random.default_rng(seed)
-    h, w, _ = image.data.shape
-    dotted, white = rng.random((h, w)) < salt, rng.random((h, w)) < 0.5
-    out = np.clip(image.data + sd * image.span * rng.standard_normal(image.data.shape), image.lo, image.hi)
-    return image.put(np.where(dotted[:, :, None], np.where(white[:, :, None], image.hi, image.lo), out))
+    """Drawn from seed and position by the same integer arithmetic as for pixel relations."""
+    h, w, channels = image.data.shape
+    y, x = np.mgrid[0:h, 0:w].astype(np.int64)
+    draw = lambda what: (noise_state(seed, what, y, x) + 0.5) / NOISE_PRIME
+    normal = np.stack([np.sqrt(-2 * np.log(draw(2 + 2 * c))) * np.cos(2 * math.pi * draw(3 + 2 * c)) for c in range(channels)], axis=2)
+    out = np.clip(image.data + sd * image.span * normal, image.lo, image.hi)
+    return image.put(np.where((draw(0) < salt)[:, :, None], np.where((draw(1) < 0.5)[:, :, None], image.hi, image.lo), out))
 
 
 def resize(image: Raster, factor: float) -> Raster:
@@ -295,30 +297,9 @@ def kmeans(image: Raster, k: int, seed: int = 1, sample: int = 60_000) -> tuple[
 
 
 def find_template(image: Raster, template: Raster, low: float = 0.6, most: int = 20) -> list[dict]:
-    """Places like the template: a search on smaller images, refined around its finds; overlapping finds keep the best."""
+    """Places like the template at full resolution, best first: the correlation of every place comes from one transform."""
     g, t = image.gray(), template.gray()
     (th, tw), (h, w) = t.shape, g.shape
-    if th > h or tw > w:
-        raise ValueError("the template is larger than the image")
-    if min(th, tw) < 3:
-        raise ValueError("the template is too small")
-    factor = max(1, min(tw, th) // 16)
-    if factor == 1:
-        found = kernels.peaks(kernels.correlation(g, t), tw, th, low, most)
-    else:
-        gs, ts = kernels.area_resize(g, 1 / factor), kernels.area_resize(t, 1 / factor)
-        found = []
-        for x, y, _ in kernels.peaks(kernels.correlation(gs, ts), ts.shape[1], ts.shape[0], low - 0.25, most * 4):
-            x0, y0 = max(0, x * factor - factor), max(0, y * factor - factor)
-            x1, y1 = min(w - tw, x * factor + factor), min(h - th, y * factor + factor)
-            if x1 < x0 or y1 < y0:
-                continue
-            local = kernels.correlation(g[y0 : y1 + th, x0 : x1 + tw], t)
-            k = int(local.argmax())
-            if local.flat[k] >= low:
-                found.append((x0 + k % local.shape[1], y0 + k // local.shape[1], float(local.flat[k])))
-    picked: list[dict] = []
-    for x, y, s in sorted(found, key=lambda p: -p[2]):
-        if len(picked) < most and not any(abs(p["x"] - x) < tw // 2 and abs(p["y"] - y) < th // 2 for p in picked):
-            picked.append({"x": x, "y": y, "width": tw, "height": th, "score": round(s, 4)})
-    return picked
+    if min(th, tw) < 3 or th > h or tw > w:
+        raise ValueError("the template must have 3 pixels on each side and fit into the image")
+    return [{"x": x, "y": y, "width": tw, "height": th, "score": round(s, 4)} for x, y, s in kernels.peaks(kernels.correlation(g, t), tw, th, low, most)]

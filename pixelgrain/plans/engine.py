@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import kernels
@@ -189,9 +189,47 @@ def analyze(state: State, measure: Measure, region: np.ndarray | None = None, po
     return found, summary
 
 
+#: Bytes of rows that go to a worker at once; a larger image goes alone.
+BATCH_BYTES = 32 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes, whatever number of rows it allows."""
+    now = spark.conf.get(_BATCH_KEY)
+    size = int(now) if now.lstrip("-").isdigit() else 0
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def _map(images: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    bound_batches(images.sparkSession)
+    src = images.select("path", "content") if "content" in images.columns else images
+    return src.mapInArrow(run, schema)
+
+
+def _files(batch: pa.RecordBatch) -> Iterator[tuple[str, Raster | str, Calibration | None]]:
+    from ..sources.files import read_image
+
+    for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+        try:
+            image, calibration = read_image(path, content.as_py() or b"")
+            if image.size[0] * image.size[1] > MAX_PIXELS:
+                raise ValueError("the image is empty or too large")
+            yield path, image, calibration
+        except ValueError as e:
+            yield path, str(e), None
+
+
 def _rasters(batch: pa.RecordBatch) -> Iterator[tuple[str, Raster | str, Calibration | None]]:
-    """(image_id, image or error text, calibration of the file) of each row; sample arrays are read without copies."""
+    """(image_id, image or error text, calibration of the file) of each row; sample arrays are read without copies.
+
+    Rows are an images table's, or files (path, content) that are decoded here.
+    """
     names = batch.schema.names
+    if "content" in names:
+        yield from _files(batch)
+        return
     data = batch.column("data")
     offs, flat = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
     cells = {n: batch.column(n).to_pylist() for n in names if n != "data"}
@@ -238,12 +276,30 @@ def _summary_rows(image_id: str, done: Run | str, result: tuple | None) -> list[
 
 def particles(images: DataFrame, recipe: Recipe) -> DataFrame:
     """Objects of all images under a recipe; images that fail have none."""
-    return images.mapInArrow(_process(recipe, _particle_rows, PARTICLE), PARTICLE)
+    return _map(images, _process(recipe, _particle_rows, PARTICLE), PARTICLE)
 
 
 def summaries(images: DataFrame, recipe: Recipe) -> DataFrame:
     """One row per image: the roll-up, or the reason of a failure; the first warning is kept as a note."""
-    return images.mapInArrow(_process(recipe, _summary_rows, SUMMARY), SUMMARY)
+    return _map(images, _process(recipe, _summary_rows, SUMMARY), SUMMARY)
+
+
+RESULT = f"{SUMMARY}, particles array<struct<{PARTICLE.split(', ', 1)[1].replace(' ', ':').replace(',:', ',')}>>"
+
+
+def results(images: DataFrame, recipe: Recipe) -> DataFrame:
+    """One row per image: its summary and the list of its objects, from one run of the recipe."""
+    kind = pa.list_(pa.struct([(n, _ARROW[t]) for n, t in (c.split() for c in PARTICLE.split(", ")[1:])]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, image, calibration in _rasters(batch):
+                done = image if isinstance(image, str) else run_steps(image, recipe.steps, recipe.calibration or calibration)
+                found = None if isinstance(done, str) else analyze(done.states[-1], recipe.measure)
+                summary = _batch(_summary_rows(image_id, done, found), SUMMARY)
+                yield pa.RecordBatch.from_arrays([*summary.columns, pa.array([found[0] if found else []], kind)], [*summary.schema.names, "particles"])
+
+    return _map(images, run, RESULT)
 
 
 IMAGE = "image_id string, width int, height int, channels int, nominal_min float, nominal_max float, data array<float>"
@@ -268,7 +324,7 @@ def transform(images: DataFrame, recipe: Recipe, mask: bool = False) -> DataFram
                 columns = [pa.array(c, t) for c, t in zip(cells, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)], _names(IMAGE))
 
-    return images.mapInArrow(run, IMAGE)
+    return _map(images, run, IMAGE)
 
 
 def outcomes(images: DataFrame, recipe: Recipe) -> DataFrame:
@@ -280,7 +336,7 @@ def outcomes(images: DataFrame, recipe: Recipe) -> DataFrame:
             return [{"image_id": image_id, "step": -1, "applied": False, "warning": done}]
         return [{"image_id": image_id, "step": k, "kind": s.kind, "applied": o.applied, "info": o.info, "warning": o.warning} for k, (s, o) in enumerate(zip(recipe.steps, done.outcomes, strict=True))]
 
-    return images.mapInArrow(_process(recipe, rows, schema), schema)
+    return _map(images, _process(recipe, rows, schema), schema)
 
 
 def template_matches(images: DataFrame, template: Raster, low: float = 0.6, most: int = 20) -> DataFrame:
@@ -293,7 +349,7 @@ def template_matches(images: DataFrame, template: Raster, low: float = 0.6, most
                 if not isinstance(image, str):
                     yield _batch([m | {"image_id": image_id} for m in arrays.find_template(image, template, low, most)], schema)
 
-    return images.mapInArrow(run, schema)
+    return _map(images, run, schema)
 
 
 def batch_totals(found: DataFrame) -> DataFrame:

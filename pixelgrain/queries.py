@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
-from .functions.expressions import stain_weights
+from .functions.expressions import NOISE_PRIME, stain_weights
 from .operators import adjust, filters, geometry, measure, refine, render, segment, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +152,18 @@ add(
     lambda s, d: values(filters.sobel(fx.gray(s, d))),
     f"WITH {fx.GRAY_SQL}, g AS (SELECT p.image_id, p.y, p.x, sum(q.v * dx * (2 - abs(dy))) AS gx, sum(q.v * dy * (2 - abs(dx))) AS gy FROM px p {_square} GROUP BY ALL) SELECT image_id, y, x, round(least(255.0::DOUBLE, sqrt(gx * gx + gy * gy) / 4), 5) + 0.0::DOUBLE AS v FROM g",
 )
-add("noise_seeded", lambda s, d: values(filters.noise(fx.gray(s, d), 5, 2, 7)))
+
+
+def draw_sql(what: int, seed: int) -> str:
+    """A draw between 0 and 1 as noise makes it, in whole numbers up to the last division."""
+    prime = NOISE_PRIME
+    state = f"(({seed * 7919 + what * 104729 + 1} + y::BIGINT * 15485863 + x::BIGINT * 32452843) % {prime})"
+    for k in (12345, 67891, 23457):
+        state = f"list_transform([{state}], lambda h: ((h * h % {prime}) * 48271 + h * 69621 + {k}) % {prime})[1]"
+    return f"(({state} + 0.5::DOUBLE) / {prime}.0::DOUBLE)"
+
+
+gray_query("noise_seeded", lambda p: filters.noise(p, 5, 2, 7), f"CASE WHEN {draw_sql(0, 7)} < 0.02::DOUBLE THEN CASE WHEN {draw_sql(1, 7)} < 0.5::DOUBLE THEN 255.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {clip(f'v + 12.75::DOUBLE * sqrt(-2 * ln({draw_sql(2, 7)})) * cos(2 * pi() * {draw_sql(3, 7)})')} END")
 
 # ---------------------------------------------------------------- geometry
 

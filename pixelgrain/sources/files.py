@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import IMAGE_SCHEMA
+from ..operators.measure import Calibration
+from ..plans.arrays import Raster
 from . import codecs
 
 #: Extensions that count as images; files without one are looked at for DICOM.
@@ -18,11 +20,28 @@ LOADED = f"{IMAGE_SCHEMA}, units_per_pixel double, unit string, error string"
 
 
 def find_images(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, length, content) of the image files of a folder, ordered by lower-case path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    extension = F.regexp_extract(name, r"\.([^.]*)$", 1)
-    return files.where(extension.isin(*EXTENSIONS) | ((extension == "") & (F.substring("content", 129, 4) == b"DICM"))).select("path", "length", "content").orderBy(F.lower("path"))
+    """(path, length, content) of the image files of a folder, in no order; no file is moved or opened to be passed over.
+
+    Files without an extension are opened to look for DICOM, only where there are any.
+    """
+    from ..plans.engine import bound_batches
+
+    bound_batches(spark)
+    glob = ",".join("*." + "".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    named = scan.option("pathGlobFilter", f"{{{glob}}}").load(folder).select("path", "length", "content")
+    bare = scan.option("pathGlobFilter", "*").load(folder).where(~F.element_at(F.split("path", "/"), -1).contains("."))
+    if bare.select("path").isEmpty():
+        return named
+    return named.unionByName(bare.where(F.substring("content", 129, 4) == b"DICM").select("path", "length", "content"))
+
+
+def read_image(path: str, content: bytes) -> tuple[Raster, Calibration | None]:
+    """The decoded file; a ValueError has the reason where that is not possible."""
+    found = codecs.decode(content, path)
+    if found is None:
+        raise ValueError("the format is not supported")
+    return found
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,10 +51,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = h = ch = lo = hi = units = unit = error = None
             flat = np.zeros(0, np.float32)
             try:
-                found = codecs.decode(content.as_py(), path)
-                if found is None:
-                    raise ValueError("the format is not supported")
-                image, calibration = found
+                image, calibration = read_image(path, content.as_py())
                 (w, h), ch, lo, hi, flat = image.size, image.data.shape[2], image.lo, image.hi, image.data.ravel()
                 units, unit = (calibration.units_per_pixel, calibration.unit) if calibration else (None, None)
             except ValueError as e:
@@ -47,5 +63,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def load_images(files: DataFrame) -> DataFrame:
-    """Images table of (path, content) rows; a file that can't be read is a row with its reason in error."""
+    """Images table of (path, content) rows; a file that can't be read is a row with its reason in error.
+
+    Recipes take (path, content) rows as they are, which moves the coded bytes only; this is for working with samples.
+    """
     return files.select("path", "content").mapInArrow(_decode, LOADED)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.measure import FEATURES, Options, feature_header
+from ..operators.measure import FEATURES, Calibration, Options, feature_header
 from ..plans.recipe import Recipe
 
 BOM = "﻿"
@@ -80,13 +80,17 @@ def summaries_csv(rows: list[dict], classified: bool = False) -> str:
     return _table(out, ",")
 
 
+def defused(c: str) -> F.Column:
+    """A column as text in which no cell begins a formula."""
+    v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.when(v.rlike("^[=+@-]") & v.try_cast("double").isNull(), F.concat(F.lit("'"), v)).otherwise(v)
+
+
 def csv_lines(found: DataFrame, columns: list[str], separator: str = ",") -> DataFrame:
     """Rows as escaped lines in one column, for distributed text output of tables too large for one file."""
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     def cell(c: str):
-        v = plain(c)
-        safe = F.when(v.rlike("^[=+@-]") & v.try_cast("double").isNull(), F.concat(F.lit("'"), v)).otherwise(v)
+        safe = defused(c)
         return F.when(safe.rlike(f'[{separator}"\\r\\n]'), F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe)
 
     return found.select(F.concat_ws(separator, *(cell(c) for c in columns)).alias("value"))
@@ -150,9 +154,22 @@ def build_html(r: Report) -> str:
     return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{e(r.title)}</title></head><body><h1>{e(r.title)}</h1>{made}<dl>{figures}</dl>{pictures}{charts}<ol>{"".join(steps)}</ol><table><tr>{head}</tr>{body}</table>{more}</body></html>'
 
 
-def write_batch(summaries: DataFrame, particles: DataFrame, recipe: Recipe, folder: str) -> None:
-    """Outputs of a batch: summaries and particles as Parquet, particles also as CSV parts, and the recipe as JSON."""
-    summaries.write.mode("overwrite").parquet(f"{folder}/summaries")
-    particles.write.mode("overwrite").parquet(f"{folder}/particles")
-    csv_lines(particles, ["image_id", *(f for _, f in PARTICLE_COLUMNS)]).write.mode("overwrite").option("lineSep", "\r\n").text(f"{folder}/particles_csv")
-    summaries.sparkSession.createDataFrame([(recipe.to_json(),)], "value string").write.mode("overwrite").text(f"{folder}/recipe")
+def write_batch(images: DataFrame, recipe: Recipe, folder: str) -> None:
+    """Outputs of a batch of images or files: summaries and particles as Parquet and CSV parts, and the recipe as JSON.
+
+    Every image is decoded and processed once; the tables come from the written results.
+    """
+    from ..plans import engine
+
+    spark = images.sparkSession
+    engine.results(images, recipe).write.mode("overwrite").parquet(f"{folder}/results")
+    done = spark.read.schema(engine.RESULT).parquet(f"{folder}/results")
+    done.drop("particles").write.mode("overwrite").parquet(f"{folder}/summaries")
+    done.select("image_id", F.inline("particles")).write.mode("overwrite").parquet(f"{folder}/particles")
+    calibration = recipe.calibration or Calibration()
+    units = {"a": calibration.area_unit, "l": calibration.unit, "i": recipe.measure.channel}
+    for name, columns in (("summaries", SUMMARY_COLUMNS), ("particles", ((FILE, "image_id"), *PARTICLE_COLUMNS))):
+        rows = spark.read.parquet(f"{folder}/{name}")
+        cells = [defused(f).alias(title.format(**units)) for title, f in columns if f in rows.columns]
+        rows.select(*cells).write.mode("overwrite").option("header", "true").option("escape", '"').option("lineSep", "\r\n").csv(f"{folder}/{name}_csv")
+    spark.createDataFrame([(recipe.to_json(),)], "value string").write.mode("overwrite").text(f"{folder}/recipe")

@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import engine
 from ..plans.recipe import Recipe
-from ..sources.files import load_images
 
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
@@ -15,7 +14,7 @@ BINARY = "path string, modificationTime timestamp, length long, content binary"
 def watch(spark: SparkSession, folder: str, recipe: Recipe) -> DataFrame:
     """Streaming summaries of the files of a folder."""
     files = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.*").load(folder)
-    return engine.summaries(load_images(files), recipe)
+    return engine.summaries(files, recipe)
 
 
 def start(spark: SparkSession, folder: str, recipe: Recipe, out: str, checkpoint: str) -> StreamingQuery:

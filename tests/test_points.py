@@ -27,7 +27,10 @@ def test_exclusion_toggles_whole_objects(spark):
 def test_batch_outputs(spark, tmp_path):
     images = samples.image_rows(spark, {"a": samples.from_mask(np.eye(20) > 0)})
     recipe = Recipe(steps=(Step("threshold"),))
-    sinks.write_batch(engine.summaries(images, recipe), engine.particles(images, recipe), recipe, str(tmp_path))
+    sinks.write_batch(images, recipe, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/particles").count() == 1
+    rows = spark.read.option("header", "true").option("lineSep", "\r\n").csv(f"{tmp_path}/particles_csv")
+    assert rows.columns[:3] == ["ファイル", "番号", "面積 (px²)"] and [r[2] for r in rows.collect()] == ["20.0"]
+    assert [r["数"] for r in spark.read.option("header", "true").option("lineSep", "\r\n").csv(f"{tmp_path}/summaries_csv").collect()] == ["1"]
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/recipe").collect())
     assert Recipe.from_json(text) == recipe

@@ -249,9 +249,14 @@ def test_folder_to_summary(spark, tmp_path):
     (tmp_path / "photo.jpg").write_bytes(b"\xff\xd8\xff")
     (tmp_path / "notes.txt").write_text("no image")
     found = files.find_images(spark, str(tmp_path))
-    assert [p.path.rsplit("/", 1)[1] for p in found.collect()] == ["a.dcm", "B.png", "broken.png", "photo.jpg"]
-    loaded = files.load_images(found)
-    out = {r.image_id.rsplit("/", 1)[1]: r for r in engine.summaries(loaded, Recipe(steps=(Step("threshold"),))).collect()}
+    assert sorted(p.path.rsplit("/", 1)[1] for p in found.collect()) == ["B.png", "a.dcm", "broken.png", "photo.jpg"]
+    recipe = Recipe(steps=(Step("threshold"),))
+    out = {r.image_id.rsplit("/", 1)[1]: r for r in engine.summaries(files.load_images(found), recipe).collect()}
+    straight = {r.image_id.rsplit("/", 1)[1]: r for r in engine.summaries(found, recipe).collect()}
+    assert straight == out
+    (tmp_path / "scan").write_bytes(dicom())
+    (tmp_path / "README").write_text("no image")
+    assert files.find_images(spark, str(tmp_path)).count() == 5
     assert out["B.png"]["count"] == 8 and out["broken.png"].error and out["photo.jpg"].error and out["a.dcm"].length_unit == "mm"
 
 
