@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import model
 from .functions.expressions import NOISE_PRIME, stain_weights
 from .operators import adjust, filters, geometry, measure, refine, render, segment, stats
+from .plans import engine
+from .plans.arrays import Raster
+from .plans.catalog import METHODS
+from .plans.recipe import Measure, Recipe, Step
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,3 +489,84 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("flagship", flagship)
+
+
+# ---------------------------------------------------------------- recipes: the fused path over images as rows
+
+OTSU_STEP = Step("threshold", {"method": METHODS.index("otsu")})
+
+
+def recipe_images(s: SparkSession, d: str, source: str, steps: tuple[Step, ...], mask: bool = False) -> DataFrame:
+    """Pixels of the images of a fixture after a recipe; of its mask the object pixels."""
+    out = model.explode_pixels(engine.transform(model.implode_pixels(getattr(fx, source)(s, d)), Recipe(steps=steps), mask), 1)
+    return out.where("v > 0").select("image_id", "y", "x") if mask else values(out)
+
+
+for _name, _steps in {
+    "invert": (Step("invert"),),
+    "median_r1": (Step("median", {"radius": 1}),),
+    "crop": (Step("crop", {"x": 10, "y": 5, "width": 30, "height": 100}),),
+    "flip_h": (Step("flip", {"direction": 0}),),
+    "flip_v": (Step("flip", {"direction": 1}),),
+    "rotate_cw": (Step("rotate", {"rotation": 0}),),
+    "rotate_180": (Step("rotate", {"rotation": 1}),),
+    "rotate_ccw": (Step("rotate", {"rotation": 2}),),
+}.items():
+    add(f"recipe_{_name}", lambda s, d, steps=_steps: recipe_images(s, d, "gray", steps), SQL[_name])
+for _name, _steps in {
+    "threshold_manual": (Step("threshold", {"method": METHODS.index("manual"), "value": 120}),),
+    "threshold_dark": (Step("threshold", {"method": METHODS.index("manual"), "value": 60, "bright": 1}),),
+    "invert_mask": (OTSU_STEP, Step("invertMask")),
+    "erode": (OTSU_STEP, Step("morphology", {"op": 0, "radius": R})),
+    "dilate": (OTSU_STEP, Step("morphology", {"op": 1, "radius": R})),
+    "open": (OTSU_STEP, Step("morphology", {"op": 2, "radius": R})),
+    "close": (OTSU_STEP, Step("morphology", {"op": 3, "radius": R})),
+    "fill_holes": (OTSU_STEP, Step("fillHoles")),
+    "size_filter": (OTSU_STEP, Step("sizeFilter", {"min": 3, "max": 40})),
+    "clear_border": (OTSU_STEP, Step("clearBorder")),
+}.items():
+    add(f"recipe_{_name}", lambda s, d, steps=_steps: recipe_images(s, d, "gray", steps, True), SQL[_name])
+
+
+def recipe_particles(s: SparkSession, d: str) -> DataFrame:
+    return engine.particles(model.implode_pixels(fx.gray(s, d)), Recipe(steps=(OTSU_STEP,)))
+
+
+add(
+    "recipe_particles_moments",
+    lambda s, d: recipe_particles(s, d).select("id", "pixel_count", F.round("centroid_x", 6).alias("centroid_x"), F.round("centroid_y", 6).alias("centroid_y"), *(F.round(c, 5).alias(c) for c in ("major_axis", "minor_axis", "equivalent_diameter", "aspect_ratio"))),
+    SQL["particles_moments"],
+)
+add("recipe_particles_intensity", lambda s, d: recipe_particles(s, d).select("id", *(F.round(c, 5).alias(c) for c in ("mean_intensity", "std_intensity", "min_intensity", "max_intensity", "integrated_intensity"))), SQL["particles_intensity"])
+add("recipe_particles_bounds", lambda s, d: recipe_particles(s, d).select("id", "bounds_x", "bounds_y", "bounds_width", "bounds_height", "touches_edge"), SQL["particles_bounds"])
+add("recipe_particles_feret", lambda s, d: recipe_particles(s, d).select(F.col("id").alias("label"), F.round("feret", 6).alias("feret")), SQL["particles_feret"])
+
+
+def recipe_summary(s: SparkSession, d: str) -> DataFrame:
+    out = engine.summaries(model.implode_pixels(fx.batch(s, d)), Recipe(steps=(OTSU_STEP,), measure=Measure(classify=True, positive_threshold=200.0)))
+    return out.select("image_id", "count", *(F.round(c, 5).alias(c) for c in ("total_area", "mean_area", "median_area", "std_area", "analyzed_area", "area_fraction", "mean_intensity", "density", "positive_percent")), "positive_count", "area_unit")
+
+
+add("recipe_batch_summary", recipe_summary, SQL["batch_summary"])
+
+#: Place and size of the part of the image that is searched for.
+PART_X, PART_Y, PART_W, PART_H = 20, 15, 8, 6
+LOW_SCORE = 0.35
+
+
+def template_search(s: SparkSession, d: str) -> DataFrame:
+    image = fx.gray(s, d)
+    part = image.where(F.col("x").between(PART_X, PART_X + PART_W - 1) & F.col("y").between(PART_Y, PART_Y + PART_H - 1)).orderBy("y", "x").select("v").collect()
+    cut = Raster.of(np.array([r.v for r in part], np.float32).reshape(PART_H, PART_W))
+    return engine.template_matches(model.implode_pixels(image), cut, LOW_SCORE, 20).select("image_id", "x", "y", "width", "height", F.round("score", 3).alias("score"))
+
+
+add(
+    "template_search",
+    template_search,
+    f"""WITH {fx.GRAY_SQL}, t AS (SELECT x - {PART_X} AS dx, y - {PART_Y} AS dy, v - avg(v) OVER () AS t FROM px WHERE x BETWEEN {PART_X} AND {PART_X + PART_W - 1} AND y BETWEEN {PART_Y} AND {PART_Y + PART_H - 1}),
+c AS (SELECT p.image_id, p.x - t.dx AS x, p.y - t.dy AS y, sum(p.v * t.t) AS cross_, sum(p.v * p.v) - sum(p.v) * sum(p.v) / count(*) AS var_, sum(t.t * t.t) AS norm_ FROM px p CROSS JOIN t WHERE p.x - t.dx BETWEEN 0 AND {64 - PART_W} AND p.y - t.dy BETWEEN 0 AND {48 - PART_H} GROUP BY ALL),
+m AS (SELECT image_id, x, y, CASE WHEN var_ > 1e-9 THEN cross_ / sqrt(var_ * norm_) ELSE 0.0::DOUBLE END AS score FROM c),
+top AS (SELECT a.image_id, a.x, a.y, a.score FROM m a JOIN m b ON abs(a.x - b.x) <= {PART_W // 2} AND abs(a.y - b.y) <= {PART_H // 2} WHERE a.score >= {LOW_SCORE} GROUP BY ALL HAVING a.score >= max(b.score))
+SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, {PART_W} AS width, {PART_H} AS height, round(round(score, 4), 3) AS score FROM top ORDER BY score DESC LIMIT 20""",
+)
