@@ -232,7 +232,7 @@ def _logit(p: float | np.ndarray) -> np.ndarray:
 
 def gather(ids: np.ndarray, labels: np.ndarray, shares: np.ndarray, terms: np.ndarray, counts: np.ndarray, ends: np.ndarray, idf: np.ndarray, keys: np.ndarray) -> Examples:
     """Examples in the order of the smallest hash among their rarer words, then ids: alike texts fall into one block."""
-    begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    begin = np.concatenate(([0], ends))[:-1].astype(np.int64)
     df = np.bincount(terms, minlength=len(idf))
     mark = np.array([np.min(keys[t[df[t] * RARE <= len(ids)]], initial=np.uint64(2**64 - 1)) for t in (terms[a:b] for a, b in zip(begin.tolist(), ends.tolist(), strict=True))], np.uint64)
     order = np.lexsort((ids, mark))
@@ -240,7 +240,7 @@ def gather(ids: np.ndarray, labels: np.ndarray, shares: np.ndarray, terms: np.nd
     weights = [weigh(t, c, idf) for t, c in own]
     none = [np.zeros(0, np.int64)]
     examples = Examples(
-        ids[order], labels[order].astype(float), shares[order].astype(float), idf, np.concatenate([t for t, _ in own] or none).astype(np.int32), np.concatenate(weights or none).astype(np.float32), np.cumsum([len(t) for t, _ in own], dtype=np.int64)
+        ids[order], labels[order].astype(float), shares[order].astype(float), idf, np.concatenate([t for t, _ in own] or none).astype(np.int32), np.concatenate(weights or none).astype(float), np.cumsum([len(t) for t, _ in own], dtype=np.int64)
     )
     empty = np.diff(np.concatenate(([0], examples.ends))) == 0
     pool = empty if empty.any() else np.ones(len(ids), bool)
