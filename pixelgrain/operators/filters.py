@@ -72,8 +72,10 @@ def gaussian_exact(pixels: DataFrame, sigma: float) -> DataFrame:
 
 
 def gaussian_boxes(pixels: DataFrame, sigma: float) -> DataFrame:
-    for r in box_radii(sigma):
-        pixels = box_blur(box_blur(pixels, "x", r), "y", r)
+    """All passes along x, then all along y: with replicated edges the axes commute, and pixels move twice in all."""
+    for axis in ("x", "y"):
+        for r in box_radii(sigma):
+            pixels = box_blur(pixels, axis, r)
     return pixels
 
 

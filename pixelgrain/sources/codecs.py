@@ -245,9 +245,45 @@ def decode_tiff(data: bytes, limit: int = MAX_PIXELS) -> Raster:
 _LONG = {b"OB", b"OW", b"OF", b"OD", b"OL", b"SQ", b"UC", b"UR", b"UT", b"UN"}
 
 
+_OPEN = 0xFFFFFFFF
+_ITEM, _ITEM_END, _LIST_END = (0xFFFE, 0xE000), (0xFFFE, 0xE00D), (0xFFFE, 0xE0DD)
+
+
+def _element(data: bytes, pos: int, explicit: bool) -> tuple[tuple[int, int], bytes, int, int]:
+    """(tag, kind, length, place of the value) of the element at pos; items and their ends have no kind."""
+    tag = struct.unpack_from("<HH", data, pos)
+    if tag[0] == 0xFFFE or not explicit:
+        return tag, b"", struct.unpack_from("<I", data, pos + 4)[0], pos + 8
+    kind = data[pos + 4 : pos + 6]
+    if kind in _LONG:
+        return tag, kind, struct.unpack_from("<I", data, pos + 8)[0], pos + 12
+    return tag, kind, struct.unpack_from("<H", data, pos + 6)[0], pos + 8
+
+
+def _after_list(data: bytes, pos: int, explicit: bool) -> int:
+    """Place behind a list of open length whose first item is at pos; lists inside it may be open too."""
+    levels = [_LIST_END]  # the end that each open level waits for
+    while levels:
+        tag, kind, n, pos = _element(data, pos, explicit)
+        if tag == levels[-1]:
+            levels.pop()
+        elif n != _OPEN:
+            pos += n
+        else:
+            levels.append(_ITEM_END if tag == _ITEM else _LIST_END)
+    return pos
+
+
+def _full_range_rgb(px: np.ndarray) -> np.ndarray:
+    """RGB of luma and two colour differences around 128."""
+    y, cb, cr = (px[:, :, k].astype(np.float32) for k in range(3))
+    cb, cr = cb - 128, cr - 128
+    return np.clip(np.rint(np.stack((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb), axis=2)), 0, 255)
+
+
 def decode_dicom(data: bytes, limit: int = MAX_PIXELS) -> tuple[Raster, Calibration | None]:
     """First frame of an uncompressed little-endian file: rescaled values, pixel spacing in mm. Only the image's own
-    fields are read, nothing about a patient."""
+    fields are read, nothing about a patient; lists are passed over. Colour is 8 bits and isn't rescaled."""
     pos = 132 if data[128:132] == b"DICM" else 0
     fields: dict[tuple[int, int], bytes] = {}
     explicit = True
@@ -256,16 +292,16 @@ def decode_dicom(data: bytes, limit: int = MAX_PIXELS) -> tuple[Raster, Calibrat
             group, element = struct.unpack_from("<HH", data, pos)
             if group != 2 and (2, 0x10) in fields:
                 explicit = fields[2, 0x10].rstrip(b"\0 ") != b"1.2.840.10008.1.2"
-            if explicit or group == 2:
-                kind = data[pos + 4 : pos + 6]
-                n, start = (struct.unpack_from("<I", data, pos + 8)[0], pos + 12) if kind in _LONG else (struct.unpack_from("<H", data, pos + 6)[0], pos + 8)
-            else:
-                n, start = struct.unpack_from("<I", data, pos + 4)[0], pos + 8
-            if n == 0xFFFFFFFF:
-                raise Unsupported("compressed or nested DICOM is not read")
-            fields[group, element] = data[start : start + n]
+            tag, kind, n, start = _element(data, pos, explicit or group == 2)
+            if n == _OPEN:
+                if tag == (0x7FE0, 0x10):
+                    raise Unsupported("compressed DICOM is not read")
+                pos = _after_list(data, start, explicit and kind != b"UN")
+                continue
+            if kind != b"SQ":
+                fields[tag] = data[start : start + n]
             pos = start + n
-            if (group, element) == (0x7FE0, 0x10):
+            if tag == (0x7FE0, 0x10):
                 break
     except struct.error as err:
         raise ValueError("the file is damaged") from err
@@ -277,27 +313,33 @@ def decode_dicom(data: bytes, limit: int = MAX_PIXELS) -> tuple[Raster, Calibrat
     h, w = number((0x28, 0x10), 0), number((0x28, 0x11), 0)
     _checked(w, h, limit)
     samples, depth, stored, signed = number((0x28, 2), 1), number((0x28, 0x100), 16), number((0x28, 0x101), 16), number((0x28, 0x103), 0)
-    if depth not in (8, 16) or samples not in (1, 3) or (0x7FE0, 0x10) not in fields:
+    photo = (text((0x28, 4)) or [""])[0].strip()
+    if depth not in (8, 16) or not 0 < stored <= depth or samples not in (1, 3) or (0x7FE0, 0x10) not in fields or (samples == 3 and (depth != 8 or photo not in ("RGB", "YBR_FULL"))):
         raise Unsupported("this kind of DICOM is not read")
-    kind = np.dtype(f"<{'i' if signed else 'u'}{depth // 8}")
+    kind = np.dtype(f"<u{depth // 8}")
     if len(fields[0x7FE0, 0x10]) < w * h * samples * kind.itemsize:
         raise ValueError("the file is damaged")
-    px = np.frombuffer(fields[0x7FE0, 0x10], kind, w * h * samples).astype(np.float32)
-    px = px.reshape(h, w, samples) if number((0x28, 6), 0) == 0 else np.moveaxis(px.reshape(samples, h, w), 0, 2)
-    slope = float((text((0x28, 0x1053)) or ["1"])[0]) or 1.0
-    shift = float((text((0x28, 0x1052)) or ["0"])[0])
-    lo, hi = (-(2.0 ** (stored - 1)), 2.0 ** (stored - 1) - 1) if signed else (0.0, 2.0**stored - 1)
-    lo, hi = sorted((lo * slope + shift, hi * slope + shift))
-    px = px * slope + shift
-    if text((0x28, 4))[:1] == ["MONOCHROME1"]:
-        px = lo + hi - px
+    raw = np.frombuffer(fields[0x7FE0, 0x10], kind, w * h * samples)
+    if samples == 3:
+        px = raw.reshape(h, w, 3) if number((0x28, 6), 0) == 0 else np.moveaxis(raw.reshape(3, h, w), 0, 2)
+        image = Raster.of(_full_range_rgb(px) if photo == "YBR_FULL" else px.astype(np.float32))
+    else:
+        px = (raw & ((1 << stored) - 1)).astype(np.float32).reshape(h, w, 1)
+        if signed:
+            px = np.where(px >= 2.0 ** (stored - 1), px - 2.0**stored, px)
+        slope = float((text((0x28, 0x1053)) or ["1"])[0]) or 1.0
+        shift = float((text((0x28, 0x1052)) or ["0"])[0])
+        lo, hi = (-(2.0 ** (stored - 1)), 2.0 ** (stored - 1) - 1) if signed else (0.0, 2.0**stored - 1)
+        lo, hi = sorted((lo * slope + shift, hi * slope + shift))
+        px = px * slope + shift
+        image = Raster.of(lo + hi - px if photo == "MONOCHROME1" else px, lo, hi)
     spacing = [float(v) for v in text((0x28, 0x30)) or text((0x18, 0x1164))]
     square = len(spacing) == 2 and min(spacing) > 0 and abs(spacing[0] - spacing[1]) < 0.01 * max(spacing)
-    return Raster.of(px, lo, hi), Calibration(spacing[0], "mm") if square else None
+    return image, Calibration(spacing[1], "mm") if square else None
 
 
 def decode(data: bytes, name: str = "") -> tuple[Raster, Calibration | None] | None:
-    """DICOM, TIFF or PNG by magic bytes; None for anything else."""
+    """DICOM, TIFF, PNG, JPEG, BMP or GIF by magic bytes; None for anything else."""
     if is_dicom(data, name):
         return decode_dicom(data)
     if is_tiff(data):
@@ -305,6 +347,10 @@ def decode(data: bytes, name: str = "") -> tuple[Raster, Calibration | None] | N
     if is_png(data):
         image = decode_png(data)
         return None if image is None else (image, None)
+    for magic, read in ((b"\xff\xd8\xff", photos.decode_jpeg), (b"BM", photos.decode_bmp), (b"GIF8", photos.decode_gif)):
+        if data.startswith(magic):
+            px = read(data, MAX_PIXELS)
+            return gray_if_neutral(Raster.of(px)), None
     return None
 
 
