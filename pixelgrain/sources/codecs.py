@@ -1,4 +1,4 @@
-"""PNG, TIFF and DICOM decoding to rasters with numpy and zlib, and a PNG encoder."""
+"""PNG, TIFF and DICOM decoding to rasters with numpy and zlib, photos by their own module, and a PNG encoder."""
 
 from __future__ import annotations
 
@@ -9,15 +9,13 @@ import numpy as np
 
 from ..operators.measure import Calibration
 from ..plans.arrays import Raster
+from . import photos
+from .photos import Unsupported
 
 MAX_PIXELS = 120_000_000
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
-class Unsupported(ValueError):
-    """A file of a known format that uses something this decoder does not read."""
-
-
 def is_png(data: bytes) -> bool:
     return data[:8] == PNG_MAGIC
 

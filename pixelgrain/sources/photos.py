@@ -10,7 +10,7 @@ import numpy as np
 
 
 class Unsupported(ValueError):
-    pass
+    """A file of a known format that uses something this decoder does not read."""
 
 
 def _size(w: int, h: int, limit: int) -> None:
@@ -28,7 +28,7 @@ def decode_bmp(data: bytes, limit: int) -> np.ndarray:
     except struct.error as err:
         raise ValueError("the file is damaged") from err
     _size(w, abs(h), limit)
-    if depth not in (1, 4, 8, 24, 32) or packing not in ((0, 3) if depth == 32 else (0,)):
+    if header < 40 or len(data) < 54 or depth not in (1, 4, 8, 24, 32) or packing not in ((0, 3) if depth == 32 else (0,)):
         raise Unsupported("this kind of BMP is not read")
     stride = (w * depth + 31) // 32 * 4
     if len(data) < start + stride * abs(h):
