@@ -343,8 +343,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = verify_pairs(bodies, candidate_pairs(buckets), shingle, percent)
     labels = materialize(connected_components(links), "labels")
     rest = small_bucket_pairs(buckets, labels)
-    if not rest.isEmpty():
-        links = links.unionByName(verify_pairs(bodies, rest, shingle, percent))
+    more = links.limit(0) if rest.isEmpty() else verify_pairs(bodies, rest, shingle, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
         labels = materialize(connected_components(links), "labels")
     rest = large_bucket_links(bodies, buckets, members.select("_id", "_n"), labels, shingle, percent)
     if not rest.isEmpty():
