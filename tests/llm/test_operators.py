@@ -251,6 +251,30 @@ def test_two_language_models_against_counting(spark):
             assert abs(got[i].target_loss - a) < 1e-5 and abs(got[i].background_loss - b) < 1e-5
 
 
+def test_all_words_and_pairs_against_counting(spark, monkeypatch):
+    """No word or pair is put together with others, whichever words tasks hold and however many parts and chunks there are."""
+    rng = np.random.default_rng(6)
+    docs = [(k, [f"w{(int(x) + (0 if k % 3 else 7)) % 900}" for x in np.minimum(rng.zipf(1.3, int(rng.integers(1, 120))), 5000)]) for k in range(80)]
+    docs += [(90, docs[3][1]), (91, docs[3][1]), (92, ["rare", "words", "rare", "words"]), (93, ["words", "rare", "once"])]
+    wanted = {k for k in range(80) if k % 3 == 0} | {92}
+    table = frame(spark, [(i, " ".join(t)) for i, t in docs] + [(95, None), (96, " .. ")]).repartition(3)
+    want = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+    truth = plain_models(docs, wanted, 10**9, 1)
+    whole = rows(lm_score.cross_entropy_difference(table, want))
+    parts = [rows(table_sums(spark, table, wanted, core, 97, monkeypatch)) for core in (0, 20)]
+    assert len(whole) == len(docs) + 2 and whole[95].score == whole[96].score == 0
+    for i, (a, b) in truth.items():
+        assert abs(whole[i].target_loss - a) < 1e-5 and abs(whole[i].background_loss - b) < 1e-5
+        for got in parts:
+            assert abs(got[i].target_sum / got[i].n_tokens - a) < 1e-5 and abs(got[i].background_sum / got[i].n_tokens - b) < 1e-5
+
+
+def table_sums(spark, table, wanted, core, owned, monkeypatch):
+    monkeypatch.setattr(lm_score, "OWNED_TOKENS", owned)
+    src = table.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_body"))
+    return lm_score.pair_losses(src, src.where(F.col("_id").isin(*wanted)).select("_body"), core).withColumnRenamed("_id", "doc_id")
+
+
 def test_passages_with_nearer_neighbours(spark):
     """Pairs share 55 words, others share 49 of them: the nearest suffix on either side is never the partner."""
     rng = np.random.default_rng(9)
