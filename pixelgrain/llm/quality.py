@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import bound_batches, materialize, text_bytes
-from ._text import BY_SPACE, blocks, words
+from ._base import bound_batches, discard, materialize, prefilter, text_bytes
+from ._text import BLOCK, BY_SPACE, blocks, words
 
 STATISTICS = ("inner_upper", "digit", "mark", "odd_mark", "wide", "line", "word_length", "long_word", "new_word", "new_pair", "marked_word", "shout_word")
 THRESHOLD = 0.3
@@ -97,7 +97,7 @@ def document_statistics(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text = batch.column("_id"), batch.column("_body")
-        for lo, hi, data, offs in blocks(text):
+        for lo, hi, data, offs in blocks(text, BLOCK // 4):
             x = document_statistics(data, offs)
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(x[:, k]) for k in range(x.shape[1]))], ["_id", *STATISTICS])
 
@@ -180,9 +180,12 @@ def held_out(id_col: str, folds: int, fold: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).alias("_known"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1)").where(~held_out("_known", 5, 0))
+
+
 def _labelled(table: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    known = labels.select(F.col(id_col).alias("_known"), F.col(label_col).cast("int").alias("_label")).where("_label IN (0, 1)").where(~held_out("_known", 5, 0))
-    return table.join(known, F.col("_id") == F.col("_known")).drop("_known", "_id")
+    return table.join(_known(labels, id_col, label_col), F.col("_id") == F.col("_known")).drop("_known", "_id")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -206,7 +209,7 @@ def _keep_good(model: Discriminant, text_col: str, threshold: float) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index(text_col)).fill_null("").cast(pa.binary())
-            for lo, hi, data, offs in blocks(text):
+            for lo, hi, data, offs in blocks(text, BLOCK // 4):
                 good = model.score(document_statistics(data, offs)) >= threshold
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
@@ -220,5 +223,12 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     without words. An empty table stays empty; no column name of docs is in the way.
     """
     bound_batches(docs.sparkSession)
-    model = fit(_labelled(statistics_table(docs, id_col, text_col), labels, id_col, label_col))
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"))
+    known = _known(labels, id_col, label_col)
+    if narrow.schema["_id"].dataType == known.schema["_known"].dataType:
+        narrow = prefilter(narrow, "_id", known, "_known")
+    # written before they are summed up: a task with both steps holds two Python workers, which stay for all later stages
+    table = materialize(statistics_table(narrow, "_id", "_body"), "statistics")
+    model = fit(_labelled(table, labels, id_col, label_col))
+    discard(table)
     return docs.mapInArrow(_keep_good(model, text_col, threshold), docs.schema)

@@ -46,6 +46,19 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
     assert last.count() == docs.count()
 
 
+def test_quality_stage_holds_one_worker_a_task(spark, sf_dir, monkeypatch):
+    """Statistics are not taken and summed up in one task; the model is that of all labelled rows."""
+    plans, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda table: plans.append(table._jdf.queryExecution().toString()) or fit(table))
+    models, keep = [], quality._keep_good
+    monkeypatch.setattr(quality, "_keep_good", lambda model, *rest: models.append(model) or keep(model, *rest))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    corpus_pipeline.quality_stage(spark, docs, sf_dir)
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    whole = fit(quality._labelled(quality.statistics_table(docs), labels, "doc_id", "quality"))
+    assert np.allclose(models[0].means, whole.means) and np.allclose(models[0].whiten, whole.whiten) and np.allclose(models[0].offsets, whole.offsets)
+
+
 def test_exact_stage_judges_rows(spark):
     """Of equal texts one row stays, whatever ids repeat; a text that stands alone stays."""
     rows = [(0, "a"), (1, "a"), (1, "unique text"), (2, "b"), (2, "b"), (3, "b "), (3, "b"), (None, "a"), (4, None), (5, ""), (6, " ")]
