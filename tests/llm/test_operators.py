@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +271,34 @@ def test_all_words_and_pairs_against_counting(spark, monkeypatch):
             assert abs(got[i].target_sum / got[i].n_tokens - a) < 1e-5 and abs(got[i].background_sum / got[i].n_tokens - b) < 1e-5
 
 
+def test_losses_do_not_depend_on_chunks(monkeypatch):
+    """Sums of documents are the same whether their places are sent at once or in many chunks, answered by one task or several."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.5, int(n)) if x < 200) for n in rng.integers(0, 40, 60)]
+    core = np.sort(np.array([word_hash(f"w{x}") for x in (1, 2, 3)], np.uint64))
+    counts = rng.integers(0, 9, (5, 4)).astype(float)
+    tables, single = zip(*(lm_score._pair_tables(counts * f, 100.0) for f in (1, 2)), strict=True)
+    monkeypatch.setattr(lm_score, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 3)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([x.encode() for x in texts])], ["_id", "_body"])
+
+    def sums(parts):
+        model = types.SimpleNamespace(value=lm_score.Pairs(core, tables, single, (1.0, 0.5), (100.0, 120.0), parts))
+        sent = [*lm_score._send(model, False)(iter([batch.slice(0, 25), batch.slice(25)])), *lm_score._send(model, True)(iter([batch.slice(0, 9)]))]
+        answers = [a for k in range(parts) for a in lm_score._answer(model)(b.filter(pa.array(np.asarray(b.column("part")) == k)) for b in sent)]
+        out = list(lm_score._gather(iter(answers)))
+        with pytest.raises(RuntimeError):
+            list(lm_score._gather(iter(answers[1:])))
+        return len(out), {i: x for b in out for i, *x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+
+    chunks, whole = sums(1)
+    assert chunks == 1 and len(whole) == 60
+    monkeypatch.setattr(lm_score, "CHUNK_ROWS", 14)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 50)
+    for parts in (1, 4):
+        chunks, got = sums(parts)
+        assert chunks > 4 and got.keys() == whole.keys() and all(np.allclose(got[i], whole[i], atol=1e-4) for i in whole)
+
+
 def table_sums(spark, table, wanted, core, owned, monkeypatch):
     monkeypatch.setattr(lm_score, "OWNED_TOKENS", owned)
     src = table.select(F.col("doc_id").alias("_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("_body"))
