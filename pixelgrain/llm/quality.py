@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import bound_batches, discard, materialize, prefilter, text_bytes
+from ._base import bound_batches, materialize, prefilter, text_bytes
 from ._text import BLOCK, BY_SPACE, blocks, words
 
 STATISTICS = ("inner_upper", "digit", "mark", "odd_mark", "wide", "line", "word_length", "long_word", "new_word", "new_pair", "marked_word", "shout_word")
@@ -227,8 +227,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     known = _known(labels, id_col, label_col)
     if narrow.schema["_id"].dataType == known.schema["_known"].dataType:
         narrow = prefilter(narrow, "_id", known, "_known")
-    # written before they are summed up: a task with both steps holds two Python workers, which stay for all later stages
-    table = materialize(statistics_table(narrow, "_id", "_body"), "statistics")
-    model = fit(_labelled(table, labels, id_col, label_col))
-    discard(table)
+    # merged at every size: a task that takes statistics and sums them up holds two Python workers, which stay for all later stages
+    table = statistics_table(narrow, "_id", "_body").join(known.hint("merge"), F.col("_id") == F.col("_known")).drop("_known", "_id")
+    model = fit(table)
     return docs.mapInArrow(_keep_good(model, text_col, threshold), docs.schema)

@@ -47,14 +47,16 @@ def test_stages_keep_columns_and_odd_rows(spark, sf_dir):
 
 
 def test_quality_stage_holds_one_worker_a_task(spark, sf_dir, monkeypatch):
-    """Statistics are not taken and summed up in one task; the model is that of all labelled rows."""
-    plans, fit = [], quality.fit
-    monkeypatch.setattr(quality, "fit", lambda table: plans.append(table._jdf.queryExecution().toString()) or fit(table))
+    """Statistics are taken and summed up in tasks of their own, however few labels there are; the model is that of all labelled rows."""
+    tables, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda table: tables.append(table) or fit(table))
     models, keep = [], quality._keep_good
     monkeypatch.setattr(quality, "_keep_good", lambda model, *rest: models.append(model) or keep(model, *rest))
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     corpus_pipeline.quality_stage(spark, docs, sf_dir)
-    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    assert len(tables) == 1 and tables[0].collect()
+    plan = tables[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and plan.index("SortMergeJoin") < plan.index("Exchange") < plan.index("MapInArrow")
     whole = fit(quality._labelled(quality.statistics_table(docs), labels, "doc_id", "quality"))
     assert np.allclose(models[0].means, whole.means) and np.allclose(models[0].whiten, whole.whiten) and np.allclose(models[0].offsets, whole.offsets)
 
